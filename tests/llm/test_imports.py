@@ -1,0 +1,3 @@
+
+def test_placeholder_imports():
+    import lithic.llm.catalog  # noqa: F401
