@@ -26,6 +26,7 @@ from .common import WORD, cut, prepare, read
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 256
+HELD = 12
 EPS = 1e-9
 
 
@@ -67,8 +68,7 @@ def flight(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     p, s = pi.tolist(), [float(x) for x in size]
     rng = np.random.default_rng(seed)
     draws = iter(rng.random(2 * len(p) + 8).tolist())
-    order = np.lexsort((rng.random(len(p)), -np.asarray(size)))  # the last open ones are short
-    waiting = iter(order.tolist())
+    waiting = iter(rng.permutation(len(p)).tolist())
     active: list[int] = []
     while True:
         active = [i for i in active if EPS < p[i] < 1 - EPS]
@@ -92,15 +92,15 @@ def flight(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
 
 
 def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Close the last open ones: the words nearest to their sum, then the documents."""
+    """Close the few open ones: near to their words first, then to their number."""
     at = np.flatnonzero((pi > 0) & (pi < 1))
     if not len(at):
         return pi
     takes = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at))) & 1
-    off = takes - pi[at]
-    best = np.lexsort((np.abs(off.sum(1)), np.round(np.abs(off @ size[at].astype(float)), 6)))[0]
+    off, s = takes - pi[at], size[at].astype(float)
+    cost = np.abs(off @ s) + 0.02 * size.mean() * np.abs(off.sum(1))
     out = pi.copy()
-    out[at] = takes[best]
+    out[at] = takes[np.argmin(np.round(cost, 6))]
     return out
 
 
@@ -110,11 +110,14 @@ UNIT = "id {id}, source {source}, size long, more long, n long, k long, pi doubl
 def _fly(units: DataFrame, schema: str) -> DataFrame:
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "more"], kind="stable").reset_index(drop=True)
-        size, pi = pdf["size"].to_numpy(), pdf["pi"].to_numpy()
+        size, pi = pdf["size"].to_numpy(), pdf["pi"].to_numpy().copy()
         seed = int(np.bitwise_xor.reduce(pdf["more"].to_numpy(np.int64).view(np.uint64))) ^ len(pdf)
-        pi = flight(pi, size, seed)
-        if pdf["blocks"].iloc[0] == 1:
-            pi = landing(pi, size)
+        if pdf["blocks"].iloc[0] > 1:
+            return pdf.assign(pi=flight(pi, size, seed))
+        held = np.unique(np.linspace(0, len(pi) - 1, HELD).astype(int))
+        rest = np.setdiff1d(np.arange(len(pi)), held)
+        pi[rest] = flight(pi[rest], size[rest], seed)
+        pi = landing(pi, size)
         return pdf.assign(pi=pi)
 
     return units.groupBy("source", "block").applyInPandas(fly, schema)
