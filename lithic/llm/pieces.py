@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,6 +170,17 @@ class Codec:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(no: str, model: dict) -> Codec:
+    """This process's codec of a model: what it remembers serves later tasks."""
+    if no not in _codecs:
+        _codecs.clear()
+        _codecs[no] = Codec(model)
+    return _codecs[no]
+
+
 def encode_decode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text") -> DataFrame:
     """Every row with ``n_tokens int, ids array<int>, decoded_sha256 string, round_trip boolean``.
 
@@ -179,12 +191,13 @@ def encode_decode(docs: DataFrame, model_file: str = MODEL, text_col: str = "tex
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(load(model_file))
+    no = uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded_sha256", "round_trip")]
     docs = docs.select(keep)
     schema = T.StructType(docs.schema.fields + [T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(no, shared.value)
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
