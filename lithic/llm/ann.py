@@ -113,7 +113,7 @@ def prober(models: dict[int, dict]):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = 4096, coverage: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k nearest found.
 
-    The model is fitted on at most ``sample_rows`` rows, chosen by a hash of
+    The model is fitted on about ``sample_rows`` rows, chosen by a hash of
     their id; every row is indexed. Zero vectors take no part; nulls, repeated
     ids, lengths and empty tables: see ``grid``.
     """
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: in
     some = lambda df: usable(df, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
     rows = some(vectors)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))) < sample_rows).toPandas()
     models = {d: fit(np.array(list(part["v"]), np.float64), k, coverage, n) for d, part in sample.groupby(sample["v"].map(len))}
     return search(rows, some(queries), k, prober(models), "double")
 

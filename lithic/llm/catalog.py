@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, pieces, secrets, topk
+from . import ann, mixing, pieces, secrets, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_mixing": mixing.op2_mixing,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
