@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, pieces, secrets, simhash, topk, toxicity
+from . import ann, licenses, mixing, pieces, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_exact_top_k": topk.op6_exact_top_k,
+    "op7_license_scan": licenses.op7_license_scan,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
 }
 
 SQL = {
+    "op7_license_scan": licenses.OP7_SQL,
     "op6_exact_top_k": topk.OP6_SQL,
 }
