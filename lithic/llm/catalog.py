@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, pieces, secrets, simhash, topk, toxicity
+from . import ann, licenses, mixing, pieces, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_pii": pii.op8_pii,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
 }
 
