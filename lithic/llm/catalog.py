@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, pieces, pii, secrets, simhash, topk, toxicity
+from . import ann, licenses, mixing, pieces, pii, repeats, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_pii": pii.op8_pii,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 SQL = {
