@@ -37,6 +37,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def whole(df: DataFrame, *without: str) -> Column:
+    """A row as one struct, so that no name of its columns meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("row")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: computed once, kept where every executor sees it."""
     return df.checkpoint(eager=True)

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, prepare, read
+from .common import lower_ascii, prepare, read, whole
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -125,26 +125,28 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     words, no labels, score 0. Rows with equal texts have equal results.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.drop(*[c for c in new if c != text_col]).withColumn("_key", F.unhex(F.md5(text.cast("binary"))))
-    met = similar_blocks(keyed.select(F.col("_key").alias("key"), text.alias("text")), templates, contained)
-    met = met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("label").alias("_met"), F.max("containment").alias("_best"))
+    text = F.col("text")
+    keyed = docs.select(whole(docs, text_col, *new), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(text.cast("binary"))))
+    met = similar_blocks(keyed.select("key", "text"), templates, contained)
+    met = met.groupBy("key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
     phrase = "(?i)(?<!{0})(?:{1})(?!{0})".format(LETTER, "|".join((GAP + "+").join(p.split()) for p in PHRASES))
     rows = keyed.withColumn("n_words", F.regexp_count(text, F.lit(LETTER + "+")).cast("long"))
-    rows = rows.withColumn("_w", F.when(text.rlike(phrase), words(text)))
-    rows = rows.withColumn("_at", F.when(F.col("_w").isNotNull() & (F.size("_w") > 0), phrase_places("_w"))).drop("_w", text_col)
+    rows = rows.withColumn("w", F.when(text.rlike(phrase), words(text)))
+    rows = rows.withColumn("at", F.when(F.col("w").isNotNull() & (F.size("w") > 0), phrase_places("w"))).drop("w", "text")
     none = F.array().cast("array<string>")
     rows = rows.select(
-        "*",
-        F.coalesce(F.when(F.col("_at").isNotNull(), F.size("_at")), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min("_at.at").cast("long").alias("first_word"),
-        F.array_max("_at.at").cast("long").alias("last_word"),
-        F.coalesce(F.array_distinct("_at.label"), none).alias("_base"),
-    ).drop("_at")
-    rows = rows.join(met, "_key", "left").drop("_key")
+        "row",
+        "key",
+        "n_words",
+        F.coalesce(F.when(F.col("at").isNotNull(), F.size("at")), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min("at.at").cast("long").alias("first_word"),
+        F.array_max("at.at").cast("long").alias("last_word"),
+        F.coalesce(F.array_distinct("at.label"), none).alias("base"),
+    )
+    rows = rows.join(met, "key", "left")
     joined = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
-    score = F.greatest(F.coalesce("_best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
-    return rows.select("*", joined(F.col("_base")).alias("base_labels"), joined(F.concat("_base", F.coalesce("_met", none))).alias("labels"), score.alias("score")).drop("_base", "_met", "_best")
+    score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
+    return rows.select("row.*", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(F.concat("base", F.coalesce("met", none))).alias("labels"), score.alias("score"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, prepare, read
+from .common import WORD, cut, prepare, read, whole
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -177,12 +177,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     size = words(text_col)
     got = takes(docs, id_col, source_col, size).select("more", "n", "whole", "extra")
     got = got.groupBy("more").agg(F.sum("n").alias("_n"), F.max("whole").alias("_whole"), F.sum("extra").alias("_extra")).withColumnRenamed("more", "_more")
-    rows = docs.withColumn("_more", F.xxhash64(F.col(id_col), F.col(source_col), size)).join(got, "_more")
+    rows = docs.select(whole(docs), F.xxhash64(F.col(id_col), F.col(source_col), size).alias("_more")).join(got, "_more")
     one = rows.where("_n = 1").withColumn("_copies", F.col("_whole") + F.col("_extra"))
-    several = rows.where("_n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_more").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.typeName() == "map"]))))
+    several = rows.where("_n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_more").orderBy(F.to_json("row"))))
     several = several.withColumn("_copies", F.col("_whole") + (F.col("_i") <= F.col("_extra")).cast("long")).drop("_i")
     every = one.unionByName(several).withColumn("_copies", F.col("_copies").cast("int")).where("_copies > 0")
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    return every.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

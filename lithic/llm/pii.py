@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import prepare, read, whole
 
 #: The kinds and their patterns; at one place the first that fits counts.
 PATTERNS = {
@@ -205,15 +205,15 @@ def pseudonymise(docs: DataFrame, key: str = "lithic", text_col: str = "text") -
     prepare(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     keep = [c for c in docs.columns if c not in counts]
-    text = F.col(text_col)
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], found.alias("_found"))
-    rows = rows.withColumn("_kinds", F.transform("_found", kind_of))
-    fresh = F.array_append(F.transform(F.arrays_zip("_found", "_kinds"), lambda x: pseudonym(x["_found"], x["_kinds"], key)), F.lit(""))
+    rows = docs.select(whole(docs, *counts), F.col(text_col).alias("text"))
+    text = F.col("text")
+    rows = rows.withColumn("found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("kinds", F.transform("found", kind_of))
+    fresh = F.array_append(F.transform(F.arrays_zip("found", "kinds"), lambda x: pseudonym(x["found"], x["kinds"], key)), F.lit(""))
     gaps = F.split(text, ANY, -1)
-    new = F.when(F.exists("_kinds", lambda k: k.isNotNull()), F.array_join(F.zip_with(gaps, fresh, lambda g, f: F.concat(g, f)), "")).otherwise(text)
-    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in keep]
-    number = lambda k: F.coalesce(F.when(F.col("_kinds").isNotNull(), F.size(F.filter("_kinds", lambda x: x == k))), F.lit(0))
+    new = F.when(F.exists("kinds", lambda k: k.isNotNull()), F.array_join(F.zip_with(gaps, fresh, lambda g, f: F.concat(g, f)), "")).otherwise(text)
+    out = [new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in keep]
+    number = lambda k: F.coalesce(F.when(F.col("kinds").isNotNull(), F.size(F.filter("kinds", lambda x: x == k))), F.lit(0))
     return rows.select(*out, *[number(k).alias(f"n_{k}") for k in KINDS])
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import prepare, read, whole
 
 RULES = "rules-1"
 #: Kinds in the order that decides ties of start.
@@ -89,10 +89,10 @@ def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules:
     of a blob that many rows share is narrow.
     """
     new = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
-    rows = docs.withColumn("_blob", blob(text_col)).drop(text_col, *new)
-    hits = ledger.where((F.col("rules") == rules) & (F.col("spans") != "")).select(F.col("blob").alias("_blob"), *new)
-    rows = rows.join(hits, "_blob", "left").drop("_blob")
-    return rows.fillna(0, list(new[:3])).fillna("", list(new[3:]))
+    rows = docs.select(whole(docs, text_col, *new), blob(text_col).alias("blob"))
+    hits = ledger.where((F.col("rules") == rules) & (F.col("spans") != "")).select("blob", *new)
+    zero = {c: F.lit(0).cast("long") for c in new[:3]} | {c: F.lit("") for c in new[3:]}
+    return rows.join(hits, "blob", "left").select("row.*", *[F.coalesce(c, z).alias(c) for c, z in zero.items()])
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
