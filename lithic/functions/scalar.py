@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +69,76 @@ def envelope(data: Column, chunk_key: Column, master: Column) -> Column:
 
 def open_envelope(sealed: Column, master: Column) -> Column:
     return decrypt(sealed["data"], decrypt(sealed["key"], master))
+
+
+def _xor(a: Column, b: Column) -> Column:
+    """Exclusive or of two hex strings of one length, a multiple of 8."""
+    word = lambda s, i: F.conv(F.substring(s, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    parts = F.transform(F.sequence(F.lit(0), (F.length(a) / 8).cast("int") - 1), lambda i: F.lpad(F.hex(word(a, i).bitwiseXOR(word(b, i))), 8, "0"))
+    return F.array_join(parts, "")
+
+
+def _keystream(block: Column, key: Column) -> Column:
+    """One block (hex) under the block cipher: the first block of padded ECB."""
+    return F.substring(F.hex(F.aes_encrypt(F.unhex(block), key, F.lit("ECB"))), 1, 32)
+
+
+def encrypt_cfb(data: Column, key: Column, iv: bytes = bytes(16)) -> Column:
+    """AES in CFB mode (128-bit feedback); the same length as ``data``.
+
+    Block by block, as each needs the one before it. The zero vector is the
+    default for compatibility only: it shows equal beginnings.
+    """
+    blocks = F.ceil(F.octet_length(data) / 16).cast("int")
+    part = lambda i: F.rpad(F.hex(F.substring(data, i * 16 + 1, F.lit(16))), 32, "0")
+
+    def step(state: Column, i: Column) -> Column:
+        return F.array_append(state, _xor(part(i), _keystream(F.element_at(state, -1), key)))
+
+    all_ = F.aggregate(F.sequence(F.lit(0), blocks - 1), F.array(F.lit(iv.hex().upper())), step)
+    whole = F.unhex(F.array_join(F.slice(all_, F.lit(2), blocks), ""))
+    return F.when(blocks > 0, F.substring(whole, F.lit(1), F.octet_length(data))).otherwise(data)
+
+
+def decrypt_cfb(data: Column, key: Column, iv: bytes = bytes(16)) -> Column:
+    blocks = F.ceil(F.octet_length(data) / 16).cast("int")
+    part = lambda i: F.rpad(F.hex(F.substring(data, i * 16 + 1, F.lit(16))), 32, "0")
+    before = lambda i: F.when(i > 0, part(i - 1)).otherwise(F.lit(iv.hex().upper()))
+    parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: _xor(part(i), _keystream(before(i), key)))
+    return F.when(blocks > 0, F.substring(F.unhex(F.array_join(parts, "")), F.lit(1), F.octet_length(data))).otherwise(data)
+
+
+def _crc_table(polynomial: int = 0x82F63B78) -> list[int]:
+    """The byte table of a reflected 32-bit CRC, from its polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (polynomial if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+_CRC32C = _crc_table()
+
+
+def crc32c_of(data: bytes) -> int:
+    c = 0xFFFFFFFF
+    for b in data:
+        c = _CRC32C[(c ^ b) & 255] ^ c >> 8
+    return c ^ 0xFFFFFFFF
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C (Castagnoli) as a long; ``crc32`` is the built-in for the other polynomial."""
+
+    @F.pandas_udf("long")
+    def udf(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else crc32c_of(x) for x in batch], dtype="Int64")
+
+    return udf(data)
+
+
+def masked_crc(crc: Column) -> Column:
+    """A CRC rotated by 15 bits, plus a constant of the log format (fixed value)."""
+    turned = F.shiftright(crc, 15).bitwiseOR(F.shiftleft(crc, 17))
+    return (turned + 0xA282EAD8).bitwiseAND(F.lit(0xFFFFFFFF))

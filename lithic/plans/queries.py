@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -115,6 +115,24 @@ def _(spark, d):
     return files(spark, d).select(F.col("file_id").alias("doc_id"), scalar.fingerprint(F.col("content"), True).alias("fp"))
 
 
+@query("checksums", "SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS name FROM documents")
+def _(spark, d):
+    return files(spark, d).select(F.col("file_id").alias("doc_id"), scalar.hex_name(F.col("content")).alias("name"))
+
+
+@query("crc32c")
+def _(spark, d):
+    crc = files(spark, d).select("file_id", scalar.crc32c(F.col("content")).alias("crc"))
+    return crc.withColumn("masked", scalar.masked_crc(F.col("crc")))
+
+
+@query("cfb_round_trip", "SELECT c_custkey, c_name AS opened, octet_length(encode(c_name))::INTEGER AS sealed_len FROM customer")
+def _(spark, d):
+    key = F.unhex(F.sha2(F.lit("key").cast("binary"), 256))
+    sealed = table(spark, d, "customer").select("c_custkey", scalar.encrypt_cfb(F.encode("c_name", "UTF-8"), key).alias("s"))
+    return sealed.select("c_custkey", F.decode(scalar.decrypt_cfb(F.col("s"), key), "UTF-8").alias("opened"), F.octet_length("s").alias("sealed_len"))
+
+
 @query("unique_first_occurrence", FLAGGED + " SELECT file_id, chunk_id, fp, is_unique FROM u")
 def _(spark, d):
     return dedup.flag_first(fixed(spark, d)).select("file_id", "chunk_id", "fp", "is_unique")
@@ -253,25 +271,22 @@ SKETCH = "s AS (SELECT DISTINCT sha256(encode(coalesce(text, ''))) AS fp, list_t
 
 @query("sf_overlap", f"WITH {SKETCH}, t AS (SELECT *, lead(sf) OVER (ORDER BY fp) AS nx FROM s) SELECT fp, len(list_intersect(sf, nx)) / 4.0::DOUBLE AS overlap FROM t WHERE nx IS NOT NULL")
 def _(spark, d):
-    s = sketch(spark, d).orderBy("fp")
-    rows = kv_neighbours(s)
-    return rows.select("fp", (F.size(F.array_intersect("sf", "nx")) / F.lit(4.0)).alias("overlap"))
+    return with_next(sketch(spark, d)).select("fp", (F.size(F.array_intersect("sf", "nx")) / F.lit(4.0)).alias("overlap"))
 
 
-def kv_neighbours(s: DataFrame) -> DataFrame:
-    """Each row with the next one in order of fp.
+def with_next(s: DataFrame) -> DataFrame:
+    """Each row with the ``sf`` of the next one by ``fp``, as ``nx``.
 
-    Within partitions of a range sort; the first row of a partition follows
-    the last of the one before it, which is a join of one row a partition.
+    Neighbours within the partitions of a range sort; the last row of a
+    partition is followed by the first of the next one that has rows, which
+    takes one row for each partition.
     """
-    from pyspark.sql import Window
-
-    parts = s.repartitionByRange("fp").sortWithinPartitions("fp").withColumn("p", F.spark_partition_id())
+    parts = cut(s.repartitionByRange("fp").sortWithinPartitions("fp")).withColumn("p", F.spark_partition_id())
     inside = parts.withColumn("nx", F.lead("sf").over(Window.partitionBy("p").orderBy("fp")))
     firsts = parts.groupBy("p").agg(F.min(F.struct("fp", "sf")).alias("f"))
-    order = firsts.select((F.row_number().over(Window.orderBy("p")) - 1).alias("k"), "p", F.col("f.sf").alias("first_sf"))
-    follow = order.join(order.select((F.col("k") - 1).alias("k"), F.col("first_sf").alias("after")), "k").select("p", "after")
-    return inside.join(F.broadcast(follow), "p", "left").withColumn("nx", F.coalesce("nx", "after")).where("nx is not null")
+    order = Window.orderBy("p")
+    follow = firsts.select("p", F.lead("f.sf").over(order).alias("after"))
+    return inside.join(F.broadcast(follow), "p").withColumn("nx", F.coalesce("nx", "after")).where("nx is not null")
 
 
 @query("similarity_groups", f"""WITH RECURSIVE {SKETCH},

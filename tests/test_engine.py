@@ -180,3 +180,15 @@ def test_envelope(spark):
     k = F.lit(b"0" * 32)
     df = spark.range(1).select(scalar.envelope(F.lit(b"data\x00"), F.lit(b"1" * 32), k).alias("e"))
     assert bytes(df.select(scalar.open_envelope(F.col("e"), k).alias("d")).first()["d"]) == b"data\x00"
+
+
+def test_cfb_and_crc_vectors(spark):
+    key = bytes.fromhex("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4")
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51")
+    want = bytes.fromhex("dc7e84bfda79164b7ecd8486985d386039ffed143b28b1c832113c6331e5407b")
+    iv = bytes(range(16))
+    df = spark.createDataFrame([(bytearray(plain[:n]),) for n in (32, 16, 21, 0)], "p binary")
+    for r in df.select("p", scalar.encrypt_cfb(F.col("p"), F.lit(key), iv).alias("c")).withColumn("q", scalar.decrypt_cfb(F.col("c"), F.lit(key), iv)).collect():
+        assert bytes(r.c) == want[: len(r.p)] and r.q == r.p
+    assert scalar.crc32c_of(b"123456789") == 0xE3069283 and scalar.crc32c_of(bytes(32)) == 0x8A9136AA
+    assert spark.range(1).select(scalar.masked_crc(F.lit(0xE3069283)).alias("m")).first().m == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
