@@ -85,23 +85,54 @@ def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - w : width - w + n])
 
 
-def runs(b: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """(first, last, bucket, stretch, twice) of every run of positions."""
+def blocks(raws: list[bytes], size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end in blocks: (numbers, where each starts, bytes)."""
+    lo, total = 0, 0
+    for i, r in enumerate(raws):
+        total += len(r)
+        if total >= size or i + 1 == len(raws):
+            part = raws[lo : i + 1]
+            n = np.array([len(x) for x in part], np.int64)
+            yield np.arange(lo, i + 1), np.cumsum(n) - n, np.frombuffer(b"".join(part), np.uint8)
+            lo, total = i + 1, 0
+
+
+def runs(starts: np.ndarray, b: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """(text, first, last, bucket, stretch, twice) of every run of positions.
+
+    ``b`` holds texts of ``span`` bytes or more, which begin at ``starts``.
+    """
     q = span // 4
+    most = span - q  # longer runs are cut: two strings must cover a stretch
     g = grams(b, q)
-    ids, least = strings(g, q), sliding_min(g, span - q + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.append(first[1:], len(least)) - 1
-    most = span - q  # longer ones are cut: two strings must cover a run's stretch
+    ids, least = strings(g, q), sliding_min(g, most + 1)
+    ends = np.append(starts[1:], len(b))
+    begins = np.zeros(len(least) + 1, bool)
+    begins[starts] = True
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]) | begins[:-1])
+    text = np.searchsorted(starts, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(least)), ends[text] - span + 1) - 1
+    ok = last >= first  # strings across two texts are none
+    text, first, last = text[ok], first[ok], last[ok]
     pieces = (last - first) // most + 1
     if pieces.max() > 1:
         at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        text, end = np.repeat(text, pieces), np.repeat(last, pieces)
         first = np.repeat(first, pieces) + at * most
-        last = np.minimum(first + most - 1, np.repeat(last, pieces))
+        last = np.minimum(first + most - 1, end)
     h = least[first]
     stretch = mixed(mixed(ids[first] + (last - first).astype(np.uint64)) ^ ids[last])
-    twice = np.array([np.count_nonzero(g[i:j] == x) > 1 for i, j, x in zip(first.tolist(), (last + most + 1).tolist(), h)])
-    return first, last, h, stretch, twice
+    # Whether a run's least gram stands in it twice: look up where grams are some run's.
+    known, low = np.unique(h), np.uint64(0xFFFF)
+    some = np.zeros(1 << 16, bool)
+    some[known & low] = True
+    at = np.flatnonzero(some[g & low])
+    which = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
+    at, which = at[known[which] == g[at]], which[known[which] == g[at]]
+    place = np.sort(which * len(b) + at)
+    mine = np.searchsorted(known, h) * len(b)
+    twice = np.searchsorted(place, mine + last + most, "right") - np.searchsorted(place, mine + first) > 1
+    return text, first - starts[text], last - starts[text], h, stretch, twice
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,17 +146,14 @@ def spans(docs: DataFrame, span: int = SPAN, hot: int = 4096, id_col: str = "doc
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             pdf = pdf.drop_duplicates(["k1", "k2"])
-            for k1, k2, t in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["text"]):
-                b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-                if len(b) >= span:
-                    first, last, h, c, twice = runs(b, span)
-                    key = mixed(np.uint64(k1 % 2**64) ^ mixed(np.full(1, k2 % 2**64, np.uint64)))
-                    place = mixed(key + first.astype(np.uint64) + np.uint64(1)).view(np.int64)
-                    out.append(pd.DataFrame({"k1": k1, "k2": k2, "a": first.astype(np.int32), "b": last.astype(np.int32), "h": h.view(np.int64), "c": c.view(np.int64), "twice": twice, "g": place}))
-            if out:
-                yield pd.concat(out)
+            k1, k2 = (pdf[c].to_numpy(np.int64) for c in ("k1", "k2"))
+            key = mixed(k1.view(np.uint64) ^ mixed(k2.view(np.uint64)))
+            for numbers, starts, b in blocks([t.encode("utf-8", "surrogatepass") for t in pdf["text"]]):
+                text, first, last, h, c, twice = runs(starts, b, span)
+                no = numbers[text]
+                place = mixed(key[no] + first.astype(np.uint64) + np.uint64(1)).view(np.int64)
+                yield pd.DataFrame({"k1": k1[no], "k2": k2[no], "a": first.astype(np.int32), "b": last.astype(np.int32), "h": h.view(np.int64), "c": c.view(np.int64), "twice": twice, "g": place})
 
     long_ = base.where(F.octet_length("text") >= span)
     rows = long_.select("k1", "k2", "text").mapInPandas(find, "k1 long, k2 long, a int, b int, h long, c long, twice boolean, g long")
@@ -157,10 +185,16 @@ def spans(docs: DataFrame, span: int = SPAN, hot: int = 4096, id_col: str = "doc
 
     def positions(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, offset in the run, identifier) of every string."""
-        ids = [strings(grams(np.frombuffer(p, np.uint8), span // 4), span // 4) for p in pdf["part"]]
-        n = np.array([len(x) for x in ids])
-        row = np.repeat(np.arange(len(ids)), n)
-        return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.concatenate(ids)
+        rows, offsets, found = [], [], []
+        for numbers, starts, b in blocks(list(pdf["part"])):
+            ids = strings(grams(b, span // 4), span // 4)
+            n = np.append(starts[1:], len(b)) - starts - span + 1
+            row = np.repeat(np.arange(len(n)), n)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows.append(numbers[row])
+            offsets.append(offset)
+            found.append(ids[starts[row] + offset])
+        return np.concatenate(rows), np.concatenate(offsets), np.concatenate(found)
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket; whole buckets are taken together."""
