@@ -1,0 +1,135 @@
+"""Texts whose word shingles overlap by ``alike`` (Jaccard) or more, exactly.
+
+A text is the set of its word shingles, as 64-bit hashes; texts with equal
+sets are one vertex. Two sets of which the larger has n shingles must share
+``alike * n`` of them, so, in any one order of all shingles, each has one of
+its first ``n - ceil(alike * n) + 1`` in common with the other:
+
+* these first ones are the keys of a set, and only sets that share a key meet.
+  Shingles seen often in a sample of texts come last in the order, so that a
+  common line is a key only of texts that hold little else. The sample
+  decides the order alone, and any order gives the same result;
+* twice, every set is held against one set of each key, and what is alike is
+  joined into parts. A large group is then nearly always one part, though its
+  pairs were never listed;
+* then, of each key, all pairs of sets in different parts are held against
+  each other: all that are not in the key's largest part, with all.
+
+A pair that the places of its key rule out is left out; every other pair is
+decided by intersecting both sets.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut
+
+SEED = 42
+SAMPLE, OFTEN, LATE = 8_192, 2, 65_536
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Distinct unsigned hashes, sorted; of all words if they are fewer, none without words."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64))
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).view(np.int64) for t in texts], dtype=object)
+
+    return udf(text)
+
+
+def set_keys(text: Column, words: int, alike: float, late: np.ndarray) -> Column:
+    """``struct<v, n, keys>``: the set's hash, size and first shingles; ``late`` come last, in this order."""
+    order = np.argsort(late)
+    known = late[order]
+
+    @F.pandas_udf("v long, n int, keys array<long>")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            h = shingles(t, words)
+            n = len(h)
+            first = n - int(np.ceil(alike * n - 1e-9)) + 1 if n else 0
+            v = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+            if n and len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                place = np.where(known[at] == h, order[at] + 1, 0)
+                h = h[np.argsort(place, kind="stable")]
+            out.append((v, n, h[:first].view(np.int64)))
+        return pd.DataFrame(out, columns=["v", "n", "keys"])
+
+    return udf(text)
+
+
+def often(texts: DataFrame, words: int) -> np.ndarray:
+    """Shingles that a sample of ``texts(k, text)`` has often, the most frequent last."""
+    parts = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == 0).dropDuplicates(["k"])
+    counts = some.select(F.explode(shingle_sets(F.col("text"), words)).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(LATE).collect()
+    return np.array([r["s"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def alike_parts(rows: DataFrame, texts: DataFrame, words: int, alike: float) -> DataFrame:
+    """``(v, root)`` of each set of ``rows(v, n, keys, k)`` that is not its part's root.
+
+    ``k`` names a text of ``texts(k, text)`` that has the set; rows may repeat.
+    """
+    each = rows.select("v", "n", "keys").dropDuplicates(["v"]).select("v", "n", F.posexplode("keys").alias("i", "key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = cut(each.join(shared, "key"))
+    named = rows.groupBy("v").agg(F.min("k").alias("k"))
+    need = F.ceil(F.lit(alike / (1 + alike)) * (F.col("na") + F.col("nb")) - 1e-9)
+
+    def candidates(few: DataFrame, all_: DataFrame) -> DataFrame:
+        """Pairs of one key and different parts that may be alike."""
+        a, b = ([F.col(c).alias(x) for c, x in zip(("v", "n", "i", "root"), (f"v{s}", f"n{s}", f"i{s}", f"root{s}"))] for s in "ab")
+        may = (F.col("roota") != F.col("rootb")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
+        met = few.select(F.col("key").alias("keya"), *a).join(all_.select("key", *b), (F.col("keya") == F.col("key")) & may)
+        return met.select(F.least("va", "vb").alias("u"), F.greatest("va", "vb").alias("v")).distinct()
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """``(u, v, same)`` for each pair; the sets are made of their texts again."""
+        pairs = cut(pairs)
+        met = named.join(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "v"), "v")
+        found = texts.join(met.select("k"), "k", "left_semi").dropDuplicates(["k"])
+        whole = cut(found.select("k", shingle_sets(F.col("text"), words).alias("s")).join(met, "k").select("v", "s"))
+        left = pairs.join(whole.select(F.col("v").alias("u"), F.col("s").alias("x")), "u")
+        both = left.join(whole.select("v", F.col("s").alias("y")), "v")
+        inter = F.size(F.array_intersect("x", "y"))
+        return cut(both.select("u", "v", (inter / (F.size("x") + F.size("y") - inter) >= alike).alias("same")))
+
+    tried = members.select(F.col("v").alias("u"), "v", F.lit(True).alias("same")).where("false")
+    roots, now = None, members.withColumn("root", F.col("v"))
+    for turn in range(3):
+        if roots is not None:
+            now = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+            apart = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+            now = cut(now.join(apart, "key", "left_semi"))
+        if turn < 2:
+            turned = F.xxhash64("v", F.lit(turn))
+            one = now.groupBy("key").agg(F.min(turned).alias("h"))
+            few = now.withColumn("h", turned).join(one, ["key", "h"]).drop("h")
+        else:
+            parts = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+            largest = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("l")).select("key", F.col("l.root").alias("most"))
+            few = now.join(largest, "key").where("root <> most").drop("most")
+        tried = tried.unionByName(decided(candidates(few, now).join(tried.select("u", "v"), ["u", "v"], "left_anti")))
+        roots = components(tried.where("same").select("u", "v"))
+    return roots

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, cut, prepare, read, whole
 
 SEED = 42
@@ -241,24 +242,29 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "d
     return rows.select("id", "v").join(grouped.select("v", "root").join(least, "root").select("v", "component_id"), "v").select("id", F.col("v").alias("fp"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, bits: int = 6, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest id.
 
-    Two texts are near copies if their fingerprints are within ``bits`` in any
-    of ``lanes`` lanes. With the defaults that holds for 10 % of the pairs whose
-    word shingles overlap by 0.7 (Jaccard), 43 % at 0.8, 71 % at 0.85, 94 % at 0.9, all
-    at 0.95. Of rows that repeat id and text one stays; of a group without
-    ids one row stays. Same columns.
+    Two texts are near copies if the sets of their word shingles overlap by
+    ``alike`` (Jaccard) or more; a group is what they connect. Texts without
+    words are near copies of each other. Of rows that repeat id and text one
+    stays; of a group without ids one row stays. Same columns.
     """
     prepare(docs.sparkSession)
-    marked = fingerprinted(docs.select(whole(docs), F.col(id_col).alias("id"), F.col(text_col).alias("_text")), words, lanes, "_text").drop("_text")
-    marked = marked.withColumn("v", F.get("_fp", 0) if lanes == 1 else F.xxhash64("_fp"))
-    rows = cut(marked.select("id", "v", F.col("_fp").alias("fp")))
-    grouped = _grouped(rows, bits, lanes)
-    firsts = grouped.groupBy("root").agg(F.min(F.struct(F.col("m").isNull().alias("none"), "m", "v")).alias("f")).select(F.col("f.v").alias("v"), F.col("f.m").alias("m"))
-    firsts = firsts.join(rows.groupBy("v", "id").agg(F.count("*").alias("n")), "v").where(F.col("id").eqNullSafe(F.col("m"))).select("v", "m", "n")
-    kept = marked.drop("_fp").join(cut(firsts), "v").where(F.col("id").eqNullSafe(F.col("m")))
-    once = kept.where("n > 1").dropDuplicates(["v"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.select(whole(docs), F.col(id_col).alias("id"), text.alias("text")).withColumn("k", F.unhex(F.md5(F.col("text").cast("binary"))))
+    texts = marked.select("k", "text")
+    late = jaccard.often(texts, words)
+    rows = cut(marked.select("id", "k", jaccard.set_keys(F.col("text"), words, alike, late).alias("s")).select("id", "k", "s.v", "s.n", "s.keys"))
+    roots = jaccard.alike_parts(rows, texts, words, alike)
+    firsts = rows.groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("f"))
+    firsts = firsts.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("f").alias("f"))
+    firsts = firsts.select(F.col("f.id").alias("m"), F.col("f.k").alias("mk"))
+    counts = rows.groupBy("k", "id").agg(F.count("*").alias("n"))
+    same = (F.col("k") == F.col("mk")) & F.col("id").eqNullSafe(F.col("m"))
+    firsts = cut(firsts.join(counts, same).select("mk", "m", "n"))
+    kept = marked.drop("text").join(firsts, same)
+    once = kept.where("n > 1").dropDuplicates(["k"])
     return kept.where("n = 1").unionByName(once).select("row.*")
 
 

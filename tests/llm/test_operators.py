@@ -145,6 +145,34 @@ def test_drop_near_copies(docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for g in range(30):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(3, 120))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rng.randrange(0, 1 + len(t) // 25)):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(500)}"
+            texts.append(" ".join(t))
+    line = "one line that is said again and again "
+    texts += [line * 30 + " ".join(f"y{g}{i}" for i in range(20)) for g in range(12)]  # low Jaccard, nearly equal counts
+    found = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in found]
+    root = list(range(len(texts)))
+    near = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            near += 0.8 <= share < 0.9
+            if share >= 0.8 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_copies(df.repartition(5)).collect()} == set(root)
+    assert near > 20 and len(set(root)) < len(texts)
+
+
 def test_mixing(spark, docs, none):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(0, 400), "en", rng.choice(["a", "b", "c", "d", None] + ["a"] * 5)) for i in range(1500)]
