@@ -88,23 +88,30 @@ def apply_deltas(store: DataFrame, deltas: DataFrame) -> DataFrame:
     return rows.select("fp", F.when(F.col("d").isNull(), F.col("data")).alias("data"), F.col("d.base_fp").alias("base_fp"), F.col("d.delta").alias("delta"), F.col("d").isNotNull().cast("int").alias("delta_depth"))
 
 
-def resolve(store: DataFrame, max_depth: int = 8) -> DataFrame:
-    """``(fp, data)``: delta chains are followed, one join for each depth that occurs."""
+def resolve(store: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(fp, data)``: delta chains are followed, one join for each depth that occurs.
+
+    Ends when no delta has its base any more; ``max_depth`` ends it earlier.
+    """
     if "delta" not in store.columns:
         return store.select("fp", "data")
-    done = store.where("delta is null").select("fp", "data")
+    done = step = store.where("delta is null").select("fp", "data")
     left = store.where("delta is not null").select("fp", "base_fp", "delta")
-    for _ in range(max_depth):
-        base = done.select(F.col("fp").alias("base_fp"), F.col("data").alias("base"))
-        step = left.join(base, "base_fp").select("fp", apply_udf("base", "delta").alias("data"))
-        left = left.join(step.select("fp"), "fp", "left_anti")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        base = step.select(F.col("fp").alias("base_fp"), F.col("data").alias("base"))
+        step = cut(left.join(base, "base_fp").select("fp", apply_udf("base", "delta").alias("data")))
+        if step.isEmpty():
+            break
         done = done.unionByName(step)
-        if max_depth == 1 or (left := cut(left)).isEmpty():
+        left = cut(left.join(step.select("fp"), "fp", "left_anti"))
+        depth += 1
+        if left.isEmpty():
             break
     return done
 
 
-def restore(recipes: DataFrame, store: DataFrame, first: int | None = None, last: int | None = None, max_depth: int = 1) -> DataFrame:
+def restore(recipes: DataFrame, store: DataFrame, first: int | None = None, last: int | None = None, max_depth: int | None = None) -> DataFrame:
     """``(file_id, version, content, complete)`` of recipe entries with chunk_id in
     [first, last); whole files by default. ``complete``: every chunk was found
     at its length."""

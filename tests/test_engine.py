@@ -113,6 +113,20 @@ def test_restore_after_deltas_and_compaction(spark):
     assert again.count() == packed.count() == c.select("fp").distinct().count()
 
 
+def test_restore_follows_chains_to_their_end(spark):
+    rng = random.Random(6)
+    texts = [rng.randbytes(300)]
+    for i in range(11):
+        texts.append(texts[-1][:100] + b"edit %d" % i + texts[-1][100:])
+    rows_ = [("0", bytearray(texts[0]), None, None)] + [(str(i), None, str(i - 1), bytearray(delta.create(texts[i - 1], texts[i]))) for i in range(1, 12)]
+    rows_.append(("lost", None, "nowhere", bytearray(delta.create(b"", b"x"))))
+    chain = spark.createDataFrame(rows_, "fp string, data binary, base_fp string, delta binary")
+    recipes = spark.createDataFrame([(i, 0, 0, len(t), str(i)) for i, t in enumerate(texts)] + [(99, 0, 0, 1, "lost")], "file_id long, version int, chunk_id long, chunk_len long, fp string")
+    got = {r.file_id: (r.complete, r.content and bytes(r.content)) for r in store.restore(recipes, chain).collect()}
+    assert {i: got[i] for i in range(12)} == {i: (True, t) for i, t in enumerate(texts)}
+    assert not got[99][0]
+
+
 def test_key_value_against_a_model(spark):
     rng = random.Random(5)
     model, history, rows = {}, {}, []
