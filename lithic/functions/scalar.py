@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +16,9 @@ def fingerprint(data: Column, nul_safe: bool = False) -> Column:
     return F.regexp_replace(h, r"\G((?:(?!00)[0-9a-f]{2})*)00", "$180") if nul_safe else h
 
 
-def file_key(path: Column) -> Column:
-    return F.sha2(path, 256)
+def md5_fingerprint(data: Column) -> Column:
+    """MD5 in hex, for what needs a short name only."""
+    return F.md5(data)
 
 
 def hex_name(data: Column) -> Column:
@@ -121,11 +125,19 @@ def _crc_table(polynomial: int = 0x82F63B78) -> list[int]:
 _CRC32C = _crc_table()
 
 
-def crc32c_of(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC32C[(c ^ b) & 255] ^ c >> 8
-    return c ^ 0xFFFFFFFF
+def crc32c_all(batch: list[bytes]) -> np.ndarray:
+    """The CRC of every row, all rows byte by byte in step."""
+    table = np.array(_CRC32C, np.uint32)
+    size = np.array([len(x) for x in batch], np.int64)
+    order = np.argsort(-size, kind="stable")
+    start = (np.cumsum(size) - size)[order]
+    data, left = np.frombuffer(b"".join(batch), np.uint8), np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))))
+    crc = np.full(len(batch), 0xFFFFFFFF, np.uint32)
+    for i, n in enumerate(left):  # the n longest rows have a byte i
+        crc[:n] = table[(crc[:n] ^ data[start[:n] + i]) & np.uint32(255)] ^ (crc[:n] >> np.uint32(8))
+    out = np.empty(len(batch), np.int64)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def crc32c(data: Column) -> Column:
@@ -133,11 +145,52 @@ def crc32c(data: Column) -> Column:
 
     @F.pandas_udf("long")
     def udf(batch: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else crc32c_of(x) for x in batch], dtype="Int64")
+        crc = pd.Series(crc32c_all([x or b"" for x in batch]), dtype="Int64")
+        return crc.mask(batch.isna().to_numpy())
+
+    return udf(data)
+
+
+def hash32_of(data: bytes, seed: int) -> int:
+    """The 32-bit hash of the key-value format (fixed constants), little-endian words."""
+    m, mask = 0xC6A4A793, 0xFFFFFFFF
+    whole = len(data) // 4
+    h = (seed ^ len(data) * m) & mask
+    for w in struct.unpack_from(f"<{whole}I", data):
+        h = (h + w) * m & mask
+        h ^= h >> 16
+    if rest := data[4 * whole :]:
+        h = (h + int.from_bytes(rest, "little")) * m & mask
+        h ^= h >> 24
+    return h
+
+
+def hash32(data: Column, seed: int = 0xBC9F1D34) -> Column:
+    """``hash32_of`` as a long; null for null."""
+
+    @F.pandas_udf("long")
+    def udf(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else hash32_of(x, seed) for x in batch], dtype="Int64")
 
     return udf(data)
 
 
+def varint(n: Column) -> Column:
+    """A number from 0 on as bytes of seven bits, low ones first; all but the last have the top bit."""
+    bits = F.length(F.bin(n))
+    part = lambda i: F.call_function("shiftright", n, i * 7).bitwiseAND(F.lit(127)) + F.when((i + 1) * 7 < bits, 128).otherwise(0)
+    each = F.transform(F.sequence(F.lit(0), F.floor((bits - 1) / 7).cast("int")), lambda i: F.lpad(F.hex(part(i)), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def from_varint(data: Column) -> Column:
+    """The number that the bytes of one ``varint`` stand for."""
+    h = F.hex(data)
+    byte = lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    # Horner's rule from the last byte: times 128 each.
+    return F.aggregate(F.sequence(F.octet_length(data) - 1, F.lit(0), F.lit(-1)), F.lit(0).cast("long"), lambda a, i: a * 128 + byte(i) % 128)
+
+
 def masked_crc(crc: Column) -> Column:
     """A CRC rotated by 15 bits, plus a constant of the log format (fixed value)."""
     turned = F.shiftright(crc, 15).bitwiseOR(F.shiftleft(crc, 17))

@@ -126,11 +126,40 @@ def chunking(files: DataFrame, options: Options) -> dict[str, DataFrame]:
     return {"chunks": flat, "segments": seg, "containers": containers(seg, options)}
 
 
-def trace_segments(trace: DataFrame, options: Options) -> DataFrame:
-    """Segments over ``(file_id, version, chunk_id, fp, chunk_len)`` without payloads."""
-    return segments(trace, options)
+def block_chunks(blocks: DataFrame, options: Options) -> DataFrame:
+    """Content-defined chunks of files that come in blocks, of any size together.
 
-
-def batches_of(files: DataFrame) -> Iterator:
-    """Files one by one to the driver, a batch at a time."""
-    return files.toLocalIterator()
+    ``blocks(file_id, version, block_no, content)``; columns as in ``chunks``
+    with payload. A task reads a file block by block and keeps only what lies
+    after its last cut, less than ``max_chunk`` bytes, beside the block.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rest, no, off = None, b"", 0, 0
+
+        def take(data: bytes, last: bool) -> pd.DataFrame:
+            nonlocal rest, no, off
+            ends = cut_points(np.frombuffer(data, np.uint8), options)
+            if not last and ends:  # the end of the data is no end of the file: what stands there waits
+                ends.pop()
+            starts = [0, *ends[:-1]] if ends else []
+            out = pd.DataFrame([(*key, no + i, off + a, b - a, data[a:b]) for i, (a, b) in enumerate(zip(starts, ends))], columns=columns)
+            done = ends[-1] if ends else 0
+            rest, no, off = data[done:], no + len(ends), off + done
+            return out
+
+        columns = ["file_id", "version", "chunk_id", "byte_off", "chunk_len", "data"]
+        for pdf in batches:
+            for file_id, version, content in zip(pdf["file_id"], pdf["version"], pdf["content"]):
+                if key != (file_id, version):
+                    if key is not None and rest:
+                        yield take(rest, True)
+                    key, rest, no, off = (file_id, version), b"", 0, 0
+                yield take(rest + (content or b""), False)
+        if key is not None and rest:
+            yield take(rest, True)
+
+    rows = blocks.repartition("file_id", "version").sortWithinPartitions("file_id", "version", "block_no").select("file_id", "version", "content")
+    cut = rows.mapInPandas(run, f"file_id {kind['file_id']}, version {kind['version']}, chunk_id int, byte_off long, chunk_len int, data binary")
+    return cut.select("file_id", "version", "chunk_id", "byte_off", "chunk_len", fingerprint(F.col("data"), options.nul_safe).alias("fp"), "data")

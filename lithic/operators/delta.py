@@ -105,15 +105,19 @@ def size_column(delta: Column) -> Column:
     return F.conv(F.hex(F.substring(delta, 1, 4)), 16, 10).cast("long")
 
 
-def encode_pairs(pairs: DataFrame, payloads: DataFrame, limit: int = 16384) -> DataFrame:
+def encode_pairs(pairs: DataFrame, payloads: DataFrame, limit: int = 16384, tail: int = 0) -> DataFrame:
     """``(base_fp, new_fp, new_len, delta, delta_len, accepted)`` for ``pairs(base_fp, new_fp)``.
 
-    Pairs of one fingerprint are left out. A delta is accepted if it and the
-    base's fingerprint take less room than the chunk and than ``limit``.
+    Pairs of one fingerprint are left out, and so are pairs that are equal but
+    for their last ``tail`` bytes. A delta is accepted if it and the base's
+    fingerprint take less room than the chunk and than ``limit``.
     """
     data = payloads.select("fp", "data").dropDuplicates(["fp"])
     a, b = (data.select(F.col("fp").alias(f"{n}_fp"), F.col("data").alias(f"{n}_data")) for n in ("base", "new"))
     rows = pairs.select("base_fp", "new_fp").where("base_fp <> new_fp").distinct().join(a, "base_fp").join(b, "new_fp")
+    if tail:
+        front = lambda c: F.substring(c, F.lit(1), F.octet_length(c) - tail)
+        rows = rows.where(front("base_data") != front("new_data"))
     rows = rows.withColumn("delta", create_udf("base_data", "new_data")).withColumn("delta_len", F.octet_length("delta")).withColumn("new_len", F.octet_length("new_data"))
     size = F.col("delta_len") + OVERHEAD
     return rows.select("base_fp", "new_fp", "new_len", "delta", "delta_len", ((size < F.col("new_len")) & (size < limit)).alias("accepted"))

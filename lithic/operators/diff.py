@@ -51,8 +51,9 @@ def sliding_regions(old: list[str], new: list[str], least: int, most: int) -> li
 
     At a difference the window looks ahead, for each new chunk in turn, for an
     equal old one; the first pair found ends the region. Where a whole window
-    fails it widens, the old side follows the new side's place, and the region
-    stays open until chunks agree again or the files end.
+    fails it widens, the old cursor takes the new cursor's place, be that
+    ahead or back, and the region stays open until chunks agree again or the
+    files end. A region whose old side ends before it starts has none.
     """
     i = j = 0
     out: list[tuple[int, int, int, int, str]] = []
@@ -61,9 +62,9 @@ def sliding_regions(old: list[str], new: list[str], least: int, most: int) -> li
     def close(i: int, j: int) -> None:
         nonlocal opened, width
         si, sj = opened
-        i = max(i, si)
-        if i > si or j > sj:
-            out.append((si, i - 1, sj, j - 1, kind(i - si, j - sj)))
+        end = max(i, si)
+        if end > si or j > sj:
+            out.append((si, end - 1, sj, j - 1, kind(end - si, j - sj)))
         opened, width = None, least
 
     while i < len(old) and j < len(new):
@@ -82,8 +83,8 @@ def sliding_regions(old: list[str], new: list[str], least: int, most: int) -> li
             close(i, j)
         else:
             j = min(len(new), j + width)
-            i, width = max(i, min(len(old), j)), most
-    opened = opened or ((i, j) if i < len(old) or j < len(new) else None)
+            i, width = min(len(old), j), most
+    opened = opened or ((min(i, len(old)), j) if i < len(old) or j < len(new) else None)
     if opened:
         close(len(old), len(new))
     return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,17 +48,59 @@ def scan(log: DataFrame, low=None, high=None, snapshot: int | None = None, rever
     return latest(rows, snapshot).orderBy(by.desc() if reverse else by.asc())
 
 
-def compact(log: DataFrame, oldest_snapshot: int | None = None) -> DataFrame:
-    """What compaction keeps: all above the oldest snapshot, below it the newest
-    of each key, and no tombstone that hides nothing."""
-    cut = F.lit(True) if oldest_snapshot is None else F.col("seq") <= oldest_snapshot
-    newest = log.where(cut).groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("m")).where("m.op = 'put'").select("key", "m.seq", "m.op", "m.value")
-    return newest if oldest_snapshot is None else newest.unionByName(log.where(~cut).select("key", "seq", "op", "value"))
+def compact(log: DataFrame, snapshots: int | list[int] | None = None) -> DataFrame:
+    """What compaction keeps for the snapshots that are open.
+
+    Between two snapshots the newest entry of each key, above the last one
+    all; up to the first one no tombstone, as it hides nothing there.
+    """
+    marks = sorted([snapshots] if isinstance(snapshots, int) else snapshots or [])
+    span = reduce(lambda a, s: a + (F.col("seq") > s).cast("int"), marks, F.lit(0))
+    rows = log.withColumn("_span", span)
+    above = F.lit(False) if not marks else F.col("_span") == len(marks)
+    newest = rows.where(~above).groupBy("key", "_span").agg(F.max(F.struct("seq", "op", "value")).alias("m"))
+    newest = newest.where("m.op = 'put' or _span > 0").select("key", "m.seq", "m.op", "m.value")
+    return newest.unionByName(rows.where(above).select("key", "seq", "op", "value"))
+
+
+def write_sorted(log: DataFrame, path: str, partitions: int, compression: str = "zstd", block_mb: int = 128, bloom_bits: int | None = 10) -> None:
+    """Range-partitioned and sorted by key, so that scans prune files and row groups.
+
+    ``bloom_bits`` for each distinct key make point reads skip row groups.
+    """
+    out = log.repartitionByRange(partitions, "key").sortWithinPartitions("key", F.desc("seq")).write
+    out = out.option("compression", compression).option("parquet.block.size", block_mb << 20)
+    if bloom_bits:
+        out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(round(0.6185**bloom_bits, 6)))
+    out.mode("overwrite").parquet(path)
+
+
+LOG = "seq long, op string"
+
+
+def open_store(spark: SparkSession, path: str, key: str = "string", value: str = "string", create_if_missing: bool = True, error_if_exists: bool = False, paranoid: bool = True) -> DataFrame:
+    """The log at ``path``; without ``paranoid`` corrupt files are passed over."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    if there and error_if_exists:
+        raise ValueError(f"{path} exists")
+    schema = f"key {key}, {LOG}, value {value}"
+    if not there:
+        if not create_if_missing:
+            raise ValueError(f"{path} does not exist")
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", str(not paranoid).lower()).parquet(path)
+
+
+def repair(spark: SparkSession, path: str, to: str, partitions: int, key: str = "string", value: str = "string") -> DataFrame:
+    """What can still be read of a log, written anew to ``to``."""
+    write_sorted(open_store(spark, path, key, value, False, paranoid=False), to, partitions)
+    return open_store(spark, to, key, value)
 
 
-def write_sorted(log: DataFrame, path: str, partitions: int) -> None:
-    """Range-partitioned and sorted by key, so that scans prune files and row groups."""
-    log.repartitionByRange(partitions, "key").sortWithinPartitions("key", F.desc("seq")).write.option("parquet.bloom.filter.enabled#key", "true").mode("overwrite").parquet(path)
+def destroy(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def approximate_size(log: DataFrame, low, high) -> DataFrame:

@@ -49,15 +49,15 @@ def finesse(b: np.ndarray, n: int) -> list[int]:
 EXTRACTORS: dict[str, Callable[[np.ndarray, int], list[int]]] = {"ntransform": ntransform, "finesse": finesse}
 
 
-def features(data: Column, method: str = "finesse", n: int = 16, prefix: int = 2048) -> Column:
-    """``array<long>``; only the first ``prefix`` bytes go to Python."""
+def features(data: Column, method: str = "finesse", n: int = 16, prefix: int | None = None) -> Column:
+    """``array<long>`` of whole chunks, or of their first ``prefix`` bytes."""
     extract = EXTRACTORS[method]
 
     @F.pandas_udf("array<long>")
     def udf(batch: pd.Series) -> pd.Series:
         return pd.Series([extract(np.frombuffer(x or b"", np.uint8), n) for x in batch])
 
-    return udf(F.substring(data, 1, prefix))
+    return udf(data if prefix is None else F.substring(data, 1, prefix))
 
 
 def super_features(feats: Column, n: int, method: str = "finesse") -> Column:
@@ -74,10 +74,11 @@ def super_features(feats: Column, n: int, method: str = "finesse") -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.md5(F.array_join(F.transform(part(r), lambda x: x.cast("string")), ",").cast("binary")))
 
 
-def sketches(chunks: DataFrame, n: int = 4, method: str = "finesse", prefix: int = 2048) -> DataFrame:
+def sketches(chunks: DataFrame, n: int = 4, method: str = "finesse", prefix: int | None = None) -> DataFrame:
     """``(fp, sf array<string>)`` for each distinct chunk of ``(fp, data)``."""
-    once = chunks.select("fp", F.substring("data", 1, prefix).alias("data")).dropDuplicates(["fp"])
-    feats = once.select("fp", features(F.col("data"), method, 4 * n, prefix).alias("f"))
+    data = F.col("data") if prefix is None else F.substring("data", 1, prefix)
+    once = chunks.select("fp", data.alias("data")).dropDuplicates(["fp"])
+    feats = once.select("fp", features(F.col("data"), method, 4 * n).alias("f"))
     return feats.select("fp", super_features(F.col("f"), n, method).alias("sf"))
 
 

@@ -7,7 +7,7 @@ operation, anything else a literal.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, MutableMapping
 from functools import reduce
 from typing import Any
 
@@ -102,7 +102,7 @@ def condition(filter_: dict, collation: str | None = None) -> Column:
         out = F.lit(True)
         for op, v in want.items():
             if op == "$in":
-                now = c.isin(*v)
+                now = reduce(lambda a, b: a | b, [F.collate(c, collation) == F.collate(F.lit(x), collation) for x in v]) if collation else c.isin(*v)
             elif op == "$nin":
                 now = ~F.coalesce(c.isin(*v), F.lit(False))
             elif op == "$exists":
@@ -145,13 +145,21 @@ def _bucket(df: DataFrame, spec: dict) -> DataFrame:
 def _bucket_auto(df: DataFrame, spec: dict) -> DataFrame:
     """Buckets of about even counts; equal values stay together.
 
-    The edges are quantiles from mergeable summaries of bounded size; a few
-    numbers reach the driver.
+    A bucket ends with the value at which its share of the rows is reached.
+    Values are counted first, then numbered through the partitions of a range
+    sort: one row for each partition reaches the driver.
     """
-    n, valued = spec["buckets"], df.withColumn("_by", expression(spec["groupBy"])).where("_by is not null")
-    edges = valued.agg(F.percentile_approx("_by", [i / n for i in range(1, n)], 10000).alias("q")).first()["q"] if n > 1 else []
-    no = reduce(lambda a, q: a + (F.col("_by") > q).cast("int"), edges or [], F.lit(0))
-    out = valued.groupBy(no.alias("_no")).agg(F.min("_by").alias("min"), F.max("_by").alias("max"), F.count("*").alias("count"))
+    n, by = spec["buckets"], expression(spec["groupBy"])
+    counts = df.select(by.alias("_by")).where("_by is not null").groupBy("_by").agg(F.count("*").alias("_n"))
+    counts = cut(counts.orderBy("_by")).withColumn("_part", F.spark_partition_id())
+    sums = sorted((r["_part"], r["n"]) for r in counts.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
+    total, before, starts = sum(x for _, x in sums), 0, {}
+    for part, x in sums:
+        starts[part], before = before, before + x
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_part")) if starts else F.lit(0)
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_by").rowsBetween(Window.unboundedPreceding, -1))
+    no = F.floor((start + F.coalesce(upto, F.lit(0))) * n / F.lit(total or 1))
+    out = counts.withColumn("_no", no).groupBy("_no").agg(F.min("_by").alias("min"), F.max("_by").alias("max"), F.sum("_n").alias("count"))
     return out.select(F.struct("min", "max").alias("_id"), "count")
 
 
@@ -218,17 +226,33 @@ def _redact(df: DataFrame, spec: Any) -> DataFrame:
         out = {}
         for f in struct.fields:
             value = get(f.name)
-            if isinstance(f.dataType, T.StructType):
+            if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+                value = F.when(act == "$$KEEP", value).otherwise(F.filter(F.transform(value, element(f.dataType.elementType)), lambda x: x.isNotNull()))
+            elif isinstance(f.dataType, T.StructType):
                 inner, kept = level(lambda n, v=value: v[n], f.dataType)
                 deep = F.when(value.isNotNull() & (inner != "$$PRUNE"), F.struct(*[c.alias(n) for n, c in kept.items()]))
                 value = F.when(act == "$$KEEP", value).otherwise(deep)
             out[f.name] = value
         return act, out
 
+    def element(struct: T.StructType) -> Callable[[Column], Column]:
+        def one(x: Column) -> Column:
+            inner, kept = level(lambda n: x[n], struct)
+            return F.when(inner == "$$KEEP", x).when(inner != "$$PRUNE", F.struct(*[c.alias(n) for n, c in kept.items()]))
+
+        return one
+
     act, out = level(lambda n: F.col(f"`{n}`"), df.schema)
     return df.where(act != "$$PRUNE").select(*[c.alias(n) for n, c in out.items()])
 
 
+def _great_circle(x: Column, y: Column, lon: float, lat: float, radius: float = 6378100.0) -> Column:
+    """Metres between places given as longitude and latitude in degrees."""
+    a, b = F.radians(y), F.radians(F.lit(lat))
+    h = F.sin((a - b) / 2) ** 2 + F.cos(a) * F.cos(b) * F.sin((F.radians(x) - F.radians(F.lit(lon))) / 2) ** 2
+    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+
 def _project(df: DataFrame, spec: dict) -> DataFrame:
     if all(v in (0, False) for v in spec.values()):
         return df.drop(*spec)
@@ -254,10 +278,14 @@ def merge_into(df: DataFrame, into: DataFrame, on: str) -> DataFrame:
     return into.join(df.select(on), on, "left_anti").unionByName(df, allowMissingColumns=True)
 
 
-def run(df: DataFrame, stages: list[dict], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+def run(df: DataFrame, stages: list[dict], tables: MutableMapping[str, DataFrame] | None = None, collation: str | None = None) -> DataFrame:
     """Apply the stages in order. ``$out`` and ``$merge`` must be last; they set
-    ``tables[name]`` and return no rows."""
+    ``tables[name]`` (a write, if ``tables`` is a ``sources.database``) and
+    return no rows. Under a collation ``$match`` compares, and ``$sort``,
+    ``$group`` and ``$sortByCount`` take strings, by its rules."""
     tables = {} if tables is None else tables
+    if collation:
+        df = df.withColumns({f.name: F.collate(F.col(f"`{f.name}`"), collation) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
     for i, stage in enumerate(stages):
         ((name, spec),) = stage.items()
         if name in ("$out", "$merge"):
@@ -283,7 +311,9 @@ def run(df: DataFrame, stages: list[dict], tables: dict[str, DataFrame] | None =
             df = _facet(df, spec, tables)
         elif name == "$geoNear":
             x, y = (F.get(expression(spec.get("key", "$x")), i) for i in range(2))
-            far = F.sqrt((x - spec["near"][0]) ** 2 + (y - spec["near"][1]) ** 2)
+            far = _great_circle(x, y, *spec["near"]) if spec.get("spherical") else F.sqrt((x - spec["near"][0]) ** 2 + (y - spec["near"][1]) ** 2)
+            if "maxDistance" in spec:
+                df = df.where(far <= spec["maxDistance"])
             df = df.withColumn(spec["distanceField"], far).orderBy(spec["distanceField"])
         elif name == "$graphLookup":
             df = _graph_lookup(df, spec, tables)
@@ -294,7 +324,7 @@ def run(df: DataFrame, stages: list[dict], tables: dict[str, DataFrame] | None =
         elif name == "$lookup":
             df = _lookup(df, spec, tables)
         elif name == "$match":
-            df = df.where(condition(spec))
+            df = df.where(condition(spec, collation))
         elif name == "$project":
             df = _project(df, spec)
         elif name == "$redact":
@@ -320,7 +350,3 @@ def run(df: DataFrame, stages: list[dict], tables: dict[str, DataFrame] | None =
 def sample_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows, the same in every run: those with the least hashes of the key."""
     return df.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
-
-
-def window_rank(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order)))

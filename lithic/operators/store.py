@@ -25,16 +25,33 @@ def pack(chunks: DataFrame, cap: int = CAP) -> DataFrame:
     return chunks.select("file_id", "chunk_id", "fp", "chunk_len", F.floor(before / cap).cast("long").alias("container_id"), (before % cap).cast("long").alias("offset"))
 
 
-def pack_exact(chunks: DataFrame, cap: int = CAP, lanes: int = 64) -> DataFrame:
+#: Containers to a lane, on average: what one task fills in order.
+PER_LANE = 16
+
+
+def lane_count(chunks: DataFrame, cap: int = CAP) -> int:
+    """Lanes for ``chunks(fp, chunk_len)``: they follow the bytes to pack."""
+    total = chunks.groupBy("fp").agg(F.max("chunk_len").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-total // (PER_LANE * cap)))
+
+
+def pack_exact(chunks: DataFrame, cap: int = CAP, lanes: int | None = None) -> DataFrame:
     """``(fp, lane, container_id, offset, chunk_len)``: first chunks, packed greedily.
 
     A container takes chunks while they fit below ``cap``; then the next one
-    opens. Ingest runs in ``lanes``: chunks are dealt by fingerprint, a lane
-    fills its own containers in order, and only two numbers are kept while it
+    opens. Ingest runs in ``lanes``, by default as many as the bytes ask for:
+    chunks are dealt by fingerprint, a lane fills its own containers in order, and only two numbers are kept while it
     does, whatever its length.
     """
-    rows = chunks.select("fp", "chunk_len").dropDuplicates(["fp"])
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("fp"), F.lit(lanes)).cast("int")).repartition(lanes, "lane").sortWithinPartitions("lane", "fp")
+    lanes = lanes or lane_count(chunks, cap)
+    rows = chunks.groupBy("fp").agg(F.max("chunk_len").alias("chunk_len"))
+    rows = rows.withColumn("lane", (F.conv(F.substring("fp", 1, 8), 16, 10).cast("long") % lanes).cast("int"))
+    return _fill(rows, cap)
+
+
+def _fill(rows: DataFrame, cap: int) -> DataFrame:
+    """Containers of ``rows(fp, lane, chunk_len)``, lane by lane in order of ``fp``."""
+    rows = rows.select("fp", "lane", "chunk_len").repartition("lane").sortWithinPartitions("lane", "fp")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lane, container, used = None, 0, 0
@@ -57,17 +74,17 @@ def live_sizes(packed: DataFrame) -> DataFrame:
     return packed.groupBy("lane", "container_id").agg(F.sum("chunk_len").alias("live_bytes"), F.count("*").alias("chunks"))
 
 
-def compact(packed: DataFrame, live: DataFrame, below: int, cap: int = CAP, lanes: int = 64) -> DataFrame:
+def compact(packed: DataFrame, live: DataFrame, below: int, cap: int = CAP) -> DataFrame:
     """The store after compaction: dead chunks go, containers whose live size is
-    at most ``below`` are packed anew behind the others; a lane's last one stays."""
+    at most ``below`` are packed anew behind the others of their lane; a
+    lane's last one stays."""
     kept = packed.join(live.select("fp").distinct(), "fp", "left_semi")
     sizes = live_sizes(kept)
-    last = Window.partitionBy("lane")
-    sizes = sizes.withColumn("last", F.max("container_id").over(last)).withColumn("move", (F.col("live_bytes") <= below) & (F.col("container_id") < F.col("last")))
+    sizes = sizes.withColumn("last", F.max("container_id").over(Window.partitionBy("lane"))).withColumn("move", (F.col("live_bytes") <= below) & (F.col("container_id") < F.col("last")))
     marked = kept.join(sizes.select("lane", "container_id", "move", "last"), ["lane", "container_id"])
     stay = marked.where("not move").select("fp", "lane", "container_id", "offset", "chunk_len")
     lasts = sizes.groupBy("lane").agg(F.max("last").alias("top"))
-    again = pack_exact(marked.where("move"), cap, lanes).join(lasts, "lane")
+    again = _fill(marked.where("move"), cap).join(lasts, "lane")
     return stay.unionByName(again.withColumn("container_id", F.col("container_id") + F.col("top") + 1).select("fp", "lane", "container_id", "offset", "chunk_len"))
 
 

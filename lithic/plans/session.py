@@ -30,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of what is used more than once."""
     prepare(df.sparkSession)
     return df.checkpoint()
+
+
+def views(spark, sf_dir: str, names: list[str], prefix: str = "") -> None:
+    """The tables as temporary views, so that any SQL can be run on them."""
+    for name in names:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(prefix + name)

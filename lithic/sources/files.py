@@ -37,17 +37,12 @@ def trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.substring("value", 1, 18).alias("fp")).where(F.length("fp") == 18)
 
 
-def save_versions(df: DataFrame, path: str, mode: str = "append") -> None:
-    """An index or recipe table, pruned by file and version when read."""
-    df.write.mode(mode).partitionBy("version").parquet(path)
-
-
-def load_version(spark: SparkSession, path: str, version: int, file_id=None) -> DataFrame:
-    df = spark.read.parquet(path).where(F.col("version") == version)
-    return df if file_id is None else df.where(F.col("file_id") == file_id)
-
-
 def next_version(recipes: DataFrame) -> DataFrame:
     """``(file_id, next_version, previous_version)``."""
     last = F.max("version")
     return recipes.groupBy("file_id").agg((last + 1).alias("next_version"), last.alias("previous_version"))
+
+
+def write_files(files: DataFrame, path: str, name: str = "file_id") -> None:
+    """Restored files as rows ``(name, content)`` of a table, one partition a version."""
+    files.select(F.col(name).cast("string").alias("name"), "version", "content").write.mode("append").partitionBy("version").parquet(path)

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import ref_counts
 from ..operators.stages import condition
 
 
@@ -37,25 +36,29 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def ingest(chunks: DataFrame, folder: str) -> DataFrame:
     """Deduplicate a stream of chunks against all that came before.
 
-    Each batch appends the fingerprints that the store lacks, to a folder of
-    its own, written over if the batch is run again.
+    What has been seen is keyed state, dealt by fingerprint and kept in the
+    folder's checkpoint: a batch costs what it holds, not what came before.
+    Returns the distinct ``(fp, chunk_len)`` so far.
     """
-    store = f"{folder}/store"
     spark = chunks.sparkSession
-
-    def add(batch: DataFrame, no: int) -> None:
-        fresh = ref_counts(batch).select("fp", "chunk_len")
-        if no:
-            before = spark.read.option("recursiveFileLookup", "true").parquet(*[f"{store}/{i}" for i in range(no)])
-            fresh = fresh.join(before.select("fp"), "fp", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/{no}")
-
-    q = chunks.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(store)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        return run_once(chunks.select("fp", "chunk_len").dropDuplicates(["fp"]), folder)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def start_at(stream: DataFrame, column: str, moment) -> DataFrame:
+    """A change stream from a moment on, that moment included."""
+    return stream.where(F.col(column) >= F.lit(moment))
 
 
 def watch(stream: DataFrame, filter_: dict) -> DataFrame:
