@@ -5,13 +5,15 @@ A source's target is spread evenly over its documents: each is taken
 part is taken outright, the rest is an inclusion probability. The flight phase
 moves these along directions that change neither the source's number of
 documents nor its number of words (the null space of both constraints), until
-each reaches 0 or 1. It runs in blocks of at most ``BLOCK`` documents of one
-source, dealt by a hash; a block leaves two open probabilities at most, and
-what is open flies again, round by round, until a source is one block. Of its
-last two open documents the landing phase takes those that bring the words
-nearest to the target.
-
-Random numbers come from hashes of the block, so reruns agree.
+each reaches 0 or 1. Large documents fly first, so that what stays open is
+small. It runs in blocks of at most ``BLOCK`` documents of one source, dealt by
+a hash; a block leaves two open probabilities at most, and what is open flies
+again, round by round, until a source is one block. The landing phase draws
+the last two open documents so that each keeps its probability, in the one of
+the two ways whose words are expected nearer to the target.
+
+Every step keeps every inclusion probability on average. Random numbers come
+from hashes of the block, so reruns agree.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from .common import WORD, cut, prepare, read, whole
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 256
-HELD = 12
 EPS = 1e-9
 
 
@@ -64,11 +65,12 @@ def targets(stats: DataFrame) -> DataFrame:
 
 
 def flight(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """Move ``pi`` until two are open at most; sums of pi and pi * size stay."""
+    """Move ``pi``, large documents first, until two are open at most; sums of pi and pi * size stay."""
     p, s = pi.tolist(), [float(x) for x in size]
     rng = np.random.default_rng(seed)
     draws = iter(rng.random(2 * len(p) + 8).tolist())
-    waiting = iter(rng.permutation(len(p)).tolist())
+    mixed = rng.permutation(len(p))
+    waiting = iter(mixed[np.argsort(-size[mixed], kind="stable")].tolist())
     active: list[int] = []
     while True:
         active = [i for i in active if EPS < p[i] < 1 - EPS]
@@ -91,16 +93,22 @@ def flight(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
             p[i] = 0.0 if x <= EPS else 1.0 if x >= 1 - EPS else x
 
 
-def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Close the few open ones: near to their words first, then to their number."""
+def landing(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Close the two open ones (or one) by a draw that keeps their probabilities.
+
+    Both are taken with a chance t, which may lie between two ends; the words
+    expected off the target are linear in t, so the better end is best.
+    """
     at = np.flatnonzero((pi > 0) & (pi < 1))
-    if not len(at):
-        return pi
-    takes = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at))) & 1
-    off, s = takes - pi[at], size[at].astype(float)
-    cost = np.abs(off @ s) + 0.02 * size.mean() * np.abs(off.sum(1))
-    out = pi.copy()
-    out[at] = takes[np.argmin(np.round(cost, 6))]
+    out, u = pi.copy(), np.random.default_rng(seed + 1).random()
+    if len(at) == 1:
+        out[at] = float(u < pi[at[0]])
+    elif len(at):
+        (p, q), (a, b) = pi[at], size[at].astype(float)
+        chances = [(t, p - t, q - t, 1 - p - q + t) for t in (max(0.0, p + q - 1), min(p, q))]
+        off = [abs((x - p) * a + (y - q) * b) for x, y in ((1, 1), (1, 0), (0, 1), (0, 0))]
+        best = min(chances, key=lambda c: round(sum(x * y for x, y in zip(c, off)), 6))
+        out[at] = ((1, 1), (1, 0), (0, 1), (0, 0))[min(3, int(np.searchsorted(np.cumsum(best), u, "right")))]
     return out
 
 
@@ -112,13 +120,8 @@ def _fly(units: DataFrame, schema: str) -> DataFrame:
         pdf = pdf.sort_values(["size", "more"], kind="stable").reset_index(drop=True)
         size, pi = pdf["size"].to_numpy(), pdf["pi"].to_numpy().copy()
         seed = int(np.bitwise_xor.reduce(pdf["more"].to_numpy(np.int64).view(np.uint64))) ^ len(pdf)
-        if pdf["blocks"].iloc[0] > 1:
-            return pdf.assign(pi=flight(pi, size, seed))
-        held = np.unique(np.linspace(0, len(pi) - 1, HELD).astype(int))
-        rest = np.setdiff1d(np.arange(len(pi)), held)
-        pi[rest] = flight(pi[rest], size[rest], seed)
-        pi = landing(pi, size)
-        return pdf.assign(pi=pi)
+        pi = flight(pi, size, seed)
+        return pdf.assign(pi=landing(pi, size, seed) if pdf["blocks"].iloc[0] == 1 else pi)
 
     return units.groupBy("source", "block").applyInPandas(fly, schema)
 
@@ -175,11 +178,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     where several do.
     """
     size = words(text_col)
-    got = takes(docs, id_col, source_col, size).select("more", "n", "whole", "extra")
-    got = got.groupBy("more").agg(F.sum("n").alias("_n"), F.max("whole").alias("_whole"), F.sum("extra").alias("_extra")).withColumnRenamed("more", "_more")
-    rows = docs.select(whole(docs), F.xxhash64(F.col(id_col), F.col(source_col), size).alias("_more")).join(got, "_more")
+    got = takes(docs, id_col, source_col, size).select("more", F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra"))
+    rows = docs.select(whole(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("_more", F.xxhash64("id", "source", "size"))
+    same = (F.col("_more") == F.col("more")) & F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    rows = rows.join(got, same).select("row", "_more", "id", "source", "size", "_n", "_whole", "_extra")
     one = rows.where("_n = 1").withColumn("_copies", F.col("_whole") + F.col("_extra"))
-    several = rows.where("_n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_more").orderBy(F.to_json("row"))))
+    several = rows.where("_n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_more", "id", "source", "size").orderBy(F.to_json("row"))))
     several = several.withColumn("_copies", F.col("_whole") + (F.col("_i") <= F.col("_extra")).cast("long")).drop("_i")
     every = one.unionByName(several).withColumn("_copies", F.col("_copies").cast("int")).where("_copies > 0")
     return every.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")
