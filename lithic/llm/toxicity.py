@@ -1,10 +1,11 @@
 """Toxicity scores of restored text: a noisy channel, then a word model.
 
 Restoring. A token that may be disguised (digits or signs among letters, runs
-of one letter, letters set apart by spaces, dots or dashes, a masked letter)
+of one letter, letters set apart by spaces, dots or dashes, masked letters)
 spans a lattice of characters: each sign may stand for the letters it looks
-like, a run for one or two of its letter, a separator for nothing, ``*`` for
-any letter. Viterbi finds the likeliest path under a trigram character model
+like, a run for one or two of its letter, a separator for nothing or for the
+gap between two words (a wide one rather for a gap), ``*`` for any letter.
+Viterbi finds the likeliest path under a trigram character model
 counted over all documents, times the channel's costs. Tokens whose lattice
 has a single path are kept as they are.
 
@@ -39,11 +40,16 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 SUBSTITUTED, MASKED, DROPPED = 1.0, 3.5, 0.3
+#: What a separator costs as nothing and as a gap, by its width.
+NARROW, WIDE = (0.3, 2.0), (2.0, 0.3)
+SPACED_STEP = 64
+MASKS = 6  # a longer run of masks is noise
 A = 28  # a-z, 26 a gap, 27 any other letter
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$!|+") + "«»“”„’‘…–—"
-NOISE = re.compile(r"([^\w\s])\1\1+")
+NOISE = re.compile(r"([^\w\s*])\1\1+|\*{%d,}" % (MASKS + 1))
 RUN = re.compile(r"(.)\1+")
-SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|+*](?:[\s.\-_*]{1,2}[^\W_]|[\s.\-_]{1,2}[@$!|+]){3,}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|+*](?:[\s.\-_*]{1,3}[^\W_]|[\s.\-_]{1,3}[@$!|+]){3,}(?![^\W_])")
+SEPARATOR = re.compile(r"([\s.\-_]+)")
 INNER = re.compile(r"[^\w@$!|+*]+|_+")
 
 _LETTER = np.full(256, 26, np.int64)
@@ -80,9 +86,14 @@ class Restorer:
     def arcs(self, token: str) -> list[list[tuple[str, float]]]:
         """For each run of the token the strings that it may stand for."""
         out = []
-        for m in re.finditer(r"(.)\1*", token):
+        for m in re.finditer(r"[\s.\-_]+|(.)\1*", token):
             c, n = m[1], len(m[0])
-            if c.isalpha():
+            if c is None:
+                nothing, gap = NARROW if n == 1 else WIDE
+                out.append([("", nothing), (" ", gap)])
+            elif c == "*" and n > 1:
+                out += [[(x, MASKED) for x in LOOKS[c]]] * n
+            elif c.isalpha():
                 out.append([(c, DROPPED * (n > 1)), *([(c + c, 0.0)] if n > 1 else [])])
             elif c in LOOKS:
                 cost = MASKED if c == "*" else SUBSTITUTED
@@ -95,7 +106,7 @@ class Restorer:
         return out
 
     def viterbi(self, token: str) -> str:
-        """The likeliest reading."""
+        """The likeliest reading; a space parts words."""
         live = {(26, 26): (0.0, "")}
         costs = self.costs
         for arcs in self.arcs(token):
@@ -105,7 +116,7 @@ class Restorer:
                     x, y, total = a, b, cost + extra
                     for c in letters:
                         k = ord(c) - 97
-                        k = k if 0 <= k < 26 else 27
+                        k = k if 0 <= k < 26 else 26 if c == " " else 27
                         total += costs[x][y][k]
                         x, y = y, k
                     old = after.get((x, y))
@@ -116,7 +127,7 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words that one token, lower-cased and without spaces, restores to."""
-        core = NOISE.sub("", token).strip(EDGES)
+        core = NOISE.sub("", token.strip(EDGES)).strip(EDGES)
         if core.isalpha():
             if len(RUN.sub(r"\1\1", core)) != len(core):
                 core = self.viterbi(core)
@@ -125,6 +136,8 @@ class Restorer:
         parts = [p for p in INNER.split(core) if p]
         if len(parts) > 2 and max(map(len, parts)) <= 2:
             parts = ["".join(parts)]
+        elif len(parts) == 2:  # one separator: two words, or one that it parts
+            parts.append("".join(parts))
         out = []
         for p in parts:
             if p.isalpha():
@@ -138,9 +151,13 @@ class Restorer:
         """Words whose letters are set apart, in a lower-cased text."""
         out = []
         for m in SPACED.finditer(text):
-            letters = re.sub(r"[\s.\-_]", "", m[0])
-            if any(c.isalpha() for c in letters):
-                out.append(self.viterbi(letters))
+            if any(c.isalpha() for c in m[0]):
+                # Long runs in parts, so that none is walked as a whole; the parts meet at a separator.
+                some = SEPARATOR.split(m[0])
+                for lo in range(0, len(some), SPACED_STEP):
+                    out += self.viterbi("".join(some[lo : lo + 2 * SPACED_STEP])).split()
+                if len(some) <= SPACED_STEP:  # as one word
+                    out.append(self.viterbi(SEPARATOR.sub("", m[0])))
         return out
 
 
@@ -280,20 +297,25 @@ def scorer_of(model: dict) -> Scorer:
     return _scorers[model["no"]]
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score double`` (0 to 1), its text kept; a null text is empty.
-
-    An existing column of that name is replaced. One pass, no shuffle.
-    """
-    prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(spark: SparkSession, text: Column, model: dict) -> Column:
+    """The score, 0 to 1, of a text; a null text is empty. One pass, no shuffle."""
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         scorer = scorer_of(shared.value)
         return pd.Series([scorer.score(x) for x in texts], dtype="float64")
 
-    return docs.withColumn("score", run(F.col(text_col)))
+    return run(text)
+
+
+def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``score double``, its text kept; an existing column of that name is replaced.
+
+    Texts of any length are scored whole; an empty table stays empty.
+    """
+    return docs.withColumn("score", score_of(docs.sparkSession, F.col(text_col), model))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
