@@ -3,7 +3,8 @@
 Every shard becomes a ball tree. A node bounds the inner product of a query q
 with its rows by ``q . centre + |q| * radius``. Nodes are opened in the order
 of that bound, and none whose bound lies below the query's current kth score;
-``grid`` carries this score from shard to shard and from slot to slot.
+``grid`` builds each tree once, carries this score from shard to shard and
+shares the best kth scores of the first shards with all others.
 
 Components become ``floor(1024 * x)``. Sums are exact: in doubles where they
 stay below 2**53, else in Python's integers, then held within a long.
@@ -12,7 +13,7 @@ stay below 2**53, else in Python's integers, then held within a long.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, read
@@ -53,54 +54,53 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip((a @ b.T), -top, top).astype(np.float64)
 
 
-def branch_and_bound(q_ids, q, best, scores, ids, x):
+def branch_and_bound(q_rids, q, floor, best, scores, rids, ids, x, tree):
     """One shard's finder, see ``grid.search``."""
-    leaves, levels = ball_tree(x)
+    leaves, levels = tree
     norm = np.sqrt((q**2).sum(1))
     slack = 1e-6 + 1e-9 * norm * np.sqrt((x**2).sum(1)).max(initial=0)
+    kth = np.maximum(floor, scores[:, -1])
     live, bound = np.ones((len(q), 1), bool), None
     for centres, radii, parents in levels:
         bound = q @ centres.T + norm[:, None] * radii + slack[:, None]
-        live = live[:, parents] & (bound >= scores[:, -1:])
+        live = live[:, parents] & (bound >= kth[:, None])
     for leaf in np.argsort(-np.where(live, bound, -np.inf).max(0), kind="stable"):
-        at = np.flatnonzero(live[:, leaf] & (bound[:, leaf] >= scores[:, -1]))
+        at = np.flatnonzero(live[:, leaf] & (bound[:, leaf] >= kth))
         if len(at):
             rows = leaves[leaf]
             new = inner(q[at], x[rows])
-            own = ids[rows] == q_ids[at, None]
-            new[own] = -np.inf
-            if best is not None and not best.flags.writeable:
-                best, scores = best.copy(), scores.copy()
+            new[(rids[rows] == q_rids[at, None]) | (new < kth[at, None])] = -np.inf
+            some = (new > -np.inf).any(1)
+            at, new = at[some], new[some]
             best[at], scores[at] = merge(best[at], scores[at], np.broadcast_to(ids[rows], new.shape), new)
+            kth[at] = np.maximum(kth[at], scores[at, -1])
     return best, scores
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's k largest integer inner products.
+def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k largest integer inner products of each row for which ``asks`` holds.
 
-    A query's own id is no candidate; ties go to the smaller id; fewer than k
-    candidates give them all; empty tables give no rows. Nulls, repeated ids
-    and lengths: see ``grid``.
+    A query's own row is no candidate; ties go to the smaller id; fewer than k
+    candidates give them all; empty tables give no rows; other columns, of any
+    name, take no part. Nulls, repeated ids and lengths: see ``grid``.
     """
     prepare(vectors.sparkSession)
-    floored = lambda df: usable(df, id_col, vec_col).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
-    return search(floored(vectors), floored(queries), k, branch_and_bound, "long")
+    rows = usable(vectors, asks, id_col, vec_col).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
+    return search(rows, k, ball_tree, branch_and_bound, "long")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return exact_top_k(e, e.where("vec_id % 100 = 0"), 10)
+    return exact_top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
 
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.rid <> q.rid AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
 WHERE rank <= 10
 """
