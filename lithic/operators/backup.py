@@ -115,6 +115,10 @@ class Store:
         payload = self.table("payload").dropDuplicates(["fp"])
         return store.restore(self.version(back), store.apply_deltas(payload, self.table("deltas")) if deltas else payload)
 
+    def restore_parts(self, back: int = 0, part: int = 64 << 20) -> DataFrame:
+        """Files of any size, in parts."""
+        return store.restore_parts(self.version(back), self.table("payload").dropDuplicates(["fp"]), part)
+
     def raw(self, back: int = 0) -> DataFrame:
         """The stored bytes of each chunk as they are, deltas not decoded."""
         return store.raw(self.version(back), store.apply_deltas(self.table("payload").dropDuplicates(["fp"]), self.table("deltas")))

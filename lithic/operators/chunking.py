@@ -78,9 +78,12 @@ def closes(first_byte: int, tail_zero: bool, size: int, least: int, most: int, d
     return size > most or first_byte & (divisor - 1) == divisor - 1 or tail_zero
 
 
-def group_ids(fps: list[str], sizes: list[int], limits: tuple[int, int, int], divisor: int) -> list[int]:
-    """The group of each child, in order; the child that closes one belongs to it."""
-    out, group, size = [], 0, 0
+def group_ids(fps: list[str], sizes: list[int], limits: tuple[int, int, int], divisor: int, group: int = 0, size: int = 0) -> tuple[list[int], int, int]:
+    """The group of each child, in order, and where the next child would go on.
+
+    The child that closes a group belongs to it.
+    """
+    out = []
     for fp, n in zip(fps, sizes):
         out.append(group)
         tail = bytes.fromhex(fp)[-9:] == b"0" * 9
@@ -88,18 +91,29 @@ def group_ids(fps: list[str], sizes: list[int], limits: tuple[int, int, int], di
             group, size = group + 1, 0
         else:
             size += n
-    return out
+    return out, group, size
 
 
 def _level(children: DataFrame, child: str, name: str, size: str, limits: tuple[int, int, int], divisor: int) -> DataFrame:
-    """Groups of consecutive children of each file version."""
-    lists = children.groupBy("file_id", "version").agg(F.array_sort(F.collect_list(F.struct(child, "fp", size))).alias("c"))
+    """Groups of consecutive children of each file version.
 
-    @F.pandas_udf("array<int>")
-    def groups(batch: pd.Series) -> pd.Series:
-        return pd.Series([group_ids([x["fp"] for x in c], [x[size] for x in c], limits, divisor) for c in batch])
+    A task goes through a file's children in order, batch by batch, with two
+    numbers in hand; only a group's fingerprints are ever gathered.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in children.schema.fields}
 
-    rows = lists.select("file_id", "version", F.inline(F.zip_with("c", groups("c"), lambda x, g: F.struct(g.alias(name), x[child].alias(child), x["fp"].alias("fp"), x[size].alias("size")))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group, used = None, 0, 0
+        for pdf in batches:
+            for now, part in pdf.groupby(["file_id", "version"], sort=False, dropna=False):
+                if now != key:
+                    key, group, used = now, 0, 0
+                ids, group, used = group_ids(part["fp"].tolist(), part["size"].tolist(), limits, divisor, group, used)
+                yield part.assign(**{name: ids})
+
+    rows = children.select("file_id", "version", child, "fp", F.col(size).cast("long").alias("size"))
+    rows = rows.repartition("file_id", "version").sortWithinPartitions("file_id", "version", child)
+    rows = rows.mapInPandas(run, f"file_id {kind['file_id']}, version {kind['version']}, {child} {kind[child]}, fp string, size long, {name} int")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(child, "fp"))), lambda x: x["fp"]), "")
     return rows.groupBy("file_id", "version", name).agg(F.min(child).alias(f"start_{child}"), F.max(child).alias(f"end_{child}"), F.sum("size").alias("size"), F.sha2(F.unhex(joined), 256).alias("hash"))
 
@@ -107,8 +121,7 @@ def _level(children: DataFrame, child: str, name: str, size: str, limits: tuple[
 def segments(chunk_index: DataFrame, options: Options) -> DataFrame:
     """``(file_id, version, segment_id, start_chunk_id, end_chunk_id, size, hash)``.
 
-    A file version's chunk index (no payload) is one row of the scan; files
-    are independent of each other.
+    Files are independent of each other.
     """
     return _level(chunk_index, "chunk_id", "segment_id", "chunk_len", options.segment, 64)
 

@@ -144,6 +144,21 @@ def restore(recipes: DataFrame, store: DataFrame, first: int | None = None, last
     return whole
 
 
+def restore_parts(recipes: DataFrame, store: DataFrame, part: int = 64 << 20, max_depth: int | None = None) -> DataFrame:
+    """``(file_id, version, part_no, byte_off, content, complete)``: files of any size, in parts.
+
+    ``recipes`` must have ``byte_off``; a part holds the chunks that start in
+    one stretch of ``part`` bytes, so that no row grows with the file. Parts
+    are sorted within a file version.
+    """
+    rows = recipes.select("file_id", "version", "chunk_id", "byte_off", "chunk_len", "fp").join(resolve(store, max_depth), "fp", "left")
+    ok = F.min((F.coalesce(F.octet_length("data"), F.lit(-1)) == F.col("chunk_len")).cast("int")) == 1
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", F.hex("data").alias("h"))))
+    whole = rows.groupBy("file_id", "version", F.floor(F.col("byte_off") / part).alias("part_no"))
+    whole = whole.agg(F.min("byte_off").alias("byte_off"), F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("content"), ok.alias("complete"))
+    return whole.repartition("file_id", "version").sortWithinPartitions("file_id", "version", "part_no")
+
+
 def raw(recipes: DataFrame, store: DataFrame) -> DataFrame:
     """Stored bytes as they are, deltas not decoded."""
     return recipes.join(store, "fp")

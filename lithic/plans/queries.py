@@ -733,6 +733,13 @@ def _(spark, d):
     return spark.read.parquet(path).select("name", "version", F.sha2("content", 256).alias("sha"))
 
 
+@query("restored_parts", ONE + ", p AS (SELECT file_id, byte_off // 2048 AS part_no, min(byte_off) AS byte_off, sum(chunk_len) AS n FROM c GROUP BY ALL) SELECT file_id, part_no::BIGINT AS part_no, p.byte_off::BIGINT AS byte_off, sha256(unhex(substr(h, 2 * p.byte_off + 1, 2 * n::BIGINT))) AS sha, true AS complete FROM p JOIN c_f USING (file_id)")
+def _(spark, d):
+    kept = backup.Store(spark, streams.shared_folder(spark), FIXED, "bigint")
+    kept.ingest(files(spark, d))
+    return kept.restore_parts(part=2048).select("file_id", "part_no", "byte_off", F.sha2("content", 256).alias("sha"), "complete")
+
+
 @query("md5_names", "SELECT doc_id, md5(coalesce(text, '')) AS name FROM documents")
 def _(spark, d):
     return files(spark, d).select(F.col("file_id").alias("doc_id"), scalar.md5_fingerprint(F.col("content")).alias("name"))

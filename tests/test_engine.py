@@ -213,8 +213,8 @@ def test_super_features(spark):
 
 def test_segments_close_by_rule():
     fps = ["3f" + "0" * 62, "00" * 32, "7f" + "1" * 62, "00" * 32]
-    assert chunking.group_ids(fps, [10, 10, 10, 10], (15, 20, 100), 64) == [0, 0, 0, 1]
-    assert chunking.group_ids(["00" * 32] * 3, [60, 60, 60], (10, 20, 50), 64) == [0, 0, 1]
+    assert chunking.group_ids(fps, [10, 10, 10, 10], (15, 20, 100), 64)[0] == [0, 0, 0, 1]
+    assert chunking.group_ids(["00" * 32] * 3, [60, 60, 60], (10, 20, 50), 64)[0] == [0, 0, 1]
 
 
 def test_restore_after_deltas_and_compaction(spark):
@@ -373,6 +373,10 @@ def test_store_of_files(spark, tmp_path):
     assert {(r.next_version, r.previous_version) for r in kept.versions().collect()} == {(3, 2)}
     for back in range(3):
         assert sorted(bytes(r.content) for r in kept.restore(back).collect()) == seen[2 - back]
+    parts = kept.restore_parts(part=512).collect()
+    assert len(parts) > 12 and all(r.complete and len(r.content) < 1024 for r in parts)
+    names = {r.file_id for r in parts}
+    assert sorted(b"".join(bytes(r.content) for r in sorted((r for r in parts if r.file_id == n), key=lambda r: r.part_no)) for n in names) == seen[2]
     assert kept.changes().count() >= 4 and kept.changes("window").count() >= 4
     assert kept.save_deltas().first().accepted_pairs > 0
     rows_ = kept.restore(deltas=True).collect()
