@@ -8,7 +8,8 @@ only grow:
 * ``payload``: each chunk's bytes once, in batches;
 * ``counts``: how often each fingerprint was added, by batch; their sum is the
   store's reference count;
-* ``deltas``: payloads encoded against a base.
+* ``deltas``: payloads encoded against a base;
+* ``features``: the super-features of each chunk, once.
 
 A batch is appended in the order payload, counts, recipes, heads, under a name
 of its own. It counts once its heads are there: what a broken run left has no
@@ -25,15 +26,16 @@ from pyspark.sql import functions as F
 from ..options import Options
 from ..plans.session import cut
 from ..sources.files import next_version
-from . import delta, diff, store
+from . import delta, diff, similarity, store
 from .chunking import chunks
-from .dedup import file_totals, ref_counts
+from .dedup import collect_garbage, file_totals, probe, ref_counts
 
 SCHEMAS = {
     "heads": "file_id {id}, version int, file_size long, total_chunks long, batch string",
     "recipes": "file_id {id}, version int, chunk_id int, byte_off long, chunk_len int, fp string, batch string",
     "payload": "fp string, data binary",
     "counts": "fp string, chunk_len int, ref_count long, batch string",
+    "features": "fp string, sf array<string>",
     "deltas": "base_fp string, new_fp string, new_len int, delta binary, delta_len int, accepted boolean",
 }
 
@@ -66,7 +68,7 @@ class Store:
 
     def probe(self, chunks_: DataFrame, known: bool = True) -> DataFrame:
         """Chunks whose fingerprint the store holds, or lacks."""
-        return chunks_.join(self.table("counts").select("fp"), "fp", "left_semi" if known else "left_anti")
+        return probe(chunks_, self.table("counts"), known)
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Add ``files(file_id, content)``, each as its next version.
@@ -110,6 +112,34 @@ class Store:
         self.append("deltas", made)
         return delta.report(made)
 
+    def save_features(self) -> DataFrame:
+        """Sketch the chunks that have no features yet; returns the similarity groups of all."""
+        n = self.options.super_features
+        fresh = self.table("payload").join(self.table("features").select("fp"), "fp", "left_anti")
+        self.append("features", similarity.sketches(fresh, n, prefix=self.options.feature_prefix))
+        return similarity.groups(self.table("features").dropDuplicates(["fp"]), n)
+
+    def save_similar(self, groups: DataFrame) -> DataFrame:
+        """Encode the members of similarity groups against their bases; returns the report."""
+        made = cut(delta.encode_pairs(delta.group_pairs(groups), self.table("payload")))
+        self.append("deltas", made)
+        return delta.report(made)
+
+    def containers(self) -> DataFrame:
+        """``(fp, lane, container_id, offset, chunk_len)``: where each payload lies."""
+        return store.pack_exact(self.counts(), self.options.container_cap)
+
+    def delta_containers(self) -> DataFrame:
+        """The same of accepted deltas, each with its base's fingerprint before it."""
+        ok = self.table("deltas").where("accepted")
+        return store.pack_exact(ok.select(F.col("new_fp").alias("fp"), (F.col("delta_len") + delta.OVERHEAD).alias("chunk_len")), self.options.delta_container_cap)
+
+    def compacted(self, gone: DataFrame) -> DataFrame:
+        """``containers`` once the versions in ``gone(file_id, version)`` are deleted."""
+        left = self.table("recipes").join(gone, ["file_id", "version"], "left_anti")
+        packed = cut(self.containers())
+        return store.compact(packed, collect_garbage(self.counts(), left), self.options.compact_below, self.options.container_cap)
+
     def restore(self, back: int = 0, deltas: bool = False) -> DataFrame:
         """``(file_id, version, content, complete)``, by way of the deltas if asked for."""
         payload = self.table("payload").dropDuplicates(["fp"])

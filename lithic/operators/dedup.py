@@ -37,17 +37,6 @@ def report(chunks: DataFrame, *by: str) -> DataFrame:
     return flag_first(chunks).groupBy(*by).agg(F.count("*").alias("total_chunks"), F.sum(F.col("is_unique").cast("long")).alias("unique_chunks"), total.alias("total_bytes"), saved.alias("unique_bytes"), F.round(total / saved, 6).alias("dedup_ratio"))
 
 
-def add_to_store(store: DataFrame | None, chunks: DataFrame) -> DataFrame:
-    """The store after an ingest: counts added up, new fingerprints with zero deltas."""
-    fresh = ref_counts(chunks).select("fp", "chunk_len", "ref_count", F.lit(0).alias("delta_depth"))
-    if store is None:
-        return fresh
-    old = store.select("fp", F.col("chunk_len").alias("_len"), F.col("ref_count").alias("_n"), F.col("delta_depth").alias("_d"))
-    both = old.join(fresh, "fp", "full_outer")
-    n = F.coalesce("_n", F.lit(0)) + F.coalesce("ref_count", F.lit(0))
-    return both.select("fp", F.coalesce("_len", "chunk_len").alias("chunk_len"), n.alias("ref_count"), F.coalesce("_d", F.lit(0)).alias("delta_depth"))
-
-
 def delete_files(recipes: DataFrame, gone: DataFrame) -> DataFrame:
     """Recipe entries without the files (and versions) of ``gone``."""
     return recipes.join(gone, gone.columns, "left_anti")

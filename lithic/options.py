@@ -10,7 +10,10 @@ MIB = 1 << 20
 
 @dataclass(frozen=True)
 class Options:
-    """Sizes are in bytes. ``chunking`` is ``cdc`` or ``fixed``."""
+    """Sizes are in bytes. ``chunking`` is ``cdc`` or ``fixed``.
+
+    Features are taken of whole chunks, or of their first ``feature_prefix`` bytes.
+    """
 
     chunking: str = "cdc"
     min_chunk: int = 4096
@@ -20,7 +23,7 @@ class Options:
     segment: tuple[int, int, int] = (1 * MIB, 2 * MIB, 4 * MIB)
     container_group: tuple[int, int, int] = (512 * MIB, 1024 * MIB, 2048 * MIB)
     super_features: int = 4
-    feature_prefix: int = 2048
+    feature_prefix: int | None = None
     diff_window: tuple[int, int] = (48, 256)
     container_cap: int = 8 * MIB
     delta_container_cap: int = 8 * MIB

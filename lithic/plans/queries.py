@@ -690,6 +690,12 @@ def _(spark, d):
     return ingested(spark, d)[0].counts()
 
 
+@query("store_containers", TWICE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT fp, max(chunk_len) AS chunk_len FROM x GROUP BY fp),
+l AS (SELECT fp, chunk_len, (('0x' || substr(fp, 1, 8))::BIGINT % (SELECT greatest(1, ceil(sum(chunk_len) / {float(store.PER_LANE * FIXED.container_cap)}))::BIGINT FROM o))::INTEGER AS lane FROM o), {fill_sql("p", "l", FIXED.container_cap)} SELECT * FROM p""")
+def _(spark, d):
+    return ingested(spark, d)[0].containers()
+
+
 @query("probe_known", TWO + " SELECT file_id, chunk_id, fp FROM b WHERE fp IN (SELECT fp FROM a)")
 def _(spark, d):
     kept = backup.Store(spark, streams.shared_folder(spark), FIXED, "bigint")

@@ -258,7 +258,9 @@ def test_key_value_against_a_model(spark):
             model[k] = rng.random()
             rows.append((k, seq, "put", model[k]))
         history[seq] = dict(model)
-    log = spark.createDataFrame(rows, "key string, seq long, op string, value double")
+    log = spark.createDataFrame(rows[:0], "key string, seq long, op string, value double")
+    made = spark.createDataFrame(rows, log.schema)
+    log = kv.delete(kv.put(log, made.where("op = 'put'")), made.where("op = 'del'"))
     as_dict = lambda df: {r.key: r.value for r in df.collect()}
     assert as_dict(kv.latest(log)) == model
     assert as_dict(kv.latest(log, 150)) == history[150]
@@ -361,7 +363,7 @@ def test_store_of_files(spark, tmp_path):
     seen = []
     for version in range(3):
         if version:
-            texts = {n: b[:100] + rng.randbytes(9) + b[100:] for n, b in texts.items()}
+            texts = {n: b[:100] + (rng.randbytes(9) + b[100:] if version == 1 else bytes([b[100] ^ 1]) + b[101:]) for n, b in texts.items()}
         for n, b in texts.items():
             (here / n).write_bytes(b)
         report = {r.file_id: r for r in kept.ingest(src.binary_files(spark, str(here))).collect()}
@@ -379,8 +381,16 @@ def test_store_of_files(spark, tmp_path):
     assert sorted(b"".join(bytes(r.content) for r in sorted((r for r in parts if r.file_id == n), key=lambda r: r.part_no)) for n in names) == seen[2]
     assert kept.changes().count() >= 4 and kept.changes("window").count() >= 4
     assert kept.save_deltas().first().accepted_pairs > 0
+    groups = kept.save_features()
+    assert groups.count() > 0 and kept.table("features").count() == kept.counts().count()
+    kept.save_features()
+    assert kept.table("features").count() == kept.counts().count()  # none twice
+    assert kept.save_similar(groups).first().pairs > 0
     rows_ = kept.restore(deltas=True).collect()
     assert all(r.complete for r in rows_) and sorted(bytes(r.content) for r in rows_) == seen[2]
+    assert kept.delta_containers().count() > 0 and kept.containers().count() == kept.counts().count()
+    gone = kept.table("heads").where("version = 0").select("file_id", "version")
+    assert 0 < kept.compacted(gone).count() < kept.containers().count()
     lines = tmp_path / "trace"
     lines.write_text("\n".join(["aa:bb:cc:dd:ee:ff:" + "x" * k for k in range(3)] + ["short"]))
     assert [r.fp for r in src.trace(spark, str(lines)).collect()] == ["aa:bb:cc:dd:ee:ff:"] * 3
