@@ -266,7 +266,8 @@ def remove(text: str, found: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 def without_repeats(docs: DataFrame, span: int = SPAN, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept binary)`` for every row of ``docs``.
 
-    ``kept`` may end within a character, as ranges are ranges of bytes. A null
+    ``kept`` may end within a character, as ranges are ranges of bytes; it is
+    made of whole texts, however long. Extra columns are left out. A null
     text is empty; repeated rows are copies of each other, so all their bytes
     go if there are ``span`` of them. Empty tables give empty results.
     """
@@ -289,4 +290,5 @@ def without_repeats(docs: DataFrame, span: int = SPAN, hot: int = 4096, id_col:
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))  # a range may end within a character
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept.alias("text"), (F.col("n_removed") > 0).alias("repeated"))
