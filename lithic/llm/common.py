@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 #: What separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,9 +21,13 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and give checkpoints a folder.
 
     The folder is the one that ``spark.checkpoint.dir`` names; only a local
-    session that names none gets a temporary one.
+    session that names none gets a temporary one. Batches that go to Python
+    are bounded in bytes, unless the session bounds them already, as texts
+    may be long.
     """
     sc = spark.sparkContext
+    if int("".join(filter(str.isdigit, spark.conf.get(BATCH_BYTES)))) > BATCH:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)
@@ -47,6 +54,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object] | None = None) -> object:
+    """This Python worker's one large object, kept from task to task.
+
+    Workers are used again by the operators that follow, so whoever asks for
+    another one, or for none, lets go of what is held.
+    """
+    if name not in _held:
+        _held.clear()
+        if make:
+            _held[name] = make()
+    return _held.get(name)
+
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` computed once, and marked for broadcast only if it has ``most`` rows or fewer."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

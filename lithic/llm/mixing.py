@@ -132,8 +132,8 @@ def takes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", s
     Returns ``id, source, size, more, n, source_size, target, whole, extra``: n rows
     share the id, source, size and ``more`` (a hash of these); each is taken ``whole``
     times, ``extra`` of them once more. Null sources are a source, the last;
-    null ids are ids; an empty table gives no rows, and sources without words
-    a target of 0.
+    null ids are ids; null and empty texts have no words; an empty table gives
+    no rows, and sources without words a target of 0.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (words() if size is None else size).alias("size"))

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read
+from .common import held, prepare, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-REMEMBERED, LONGEST_REMEMBERED, PAIRS = 800_000, 24, 2_000_000
+REMEMBERED, LONGEST_REMEMBERED, PAIRS = 500_000, 24, 2_000_000
 #: Stretches up to this length are walked in step, longer ones one at a time.
 IN_STEP = 128
 #: A character that no piece holds.
@@ -365,23 +365,18 @@ class Codec:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(no: str, model: dict) -> Codec:
     """This process's codec of a model: what it remembers serves later tasks."""
-    if no not in _codecs:
-        _codecs.clear()
-        _codecs[no] = Codec(model)
-    return _codecs[no]
+    return held(f"codec {no}", lambda: Codec(model))
 
 
 def encode_decode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text") -> DataFrame:
     """Every row with ``n_tokens int, ids array<int>, decoded_sha256 string, round_trip boolean``.
 
     ``decoded_sha256`` is of the text decoded from the ids. A null text is
-    encoded as an empty one, which has no ids. Columns of these names are
-    replaced; all others stay, ``text_col`` included. One pass, no shuffle.
+    encoded as an empty one, which has no ids; a text of any length is encoded
+    whole; an empty table stays empty. Columns of these names are replaced;
+    all others stay, ``text_col`` included. One pass, no shuffle.
     """
     spark = docs.sparkSession
     prepare(spark)

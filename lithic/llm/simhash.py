@@ -3,20 +3,20 @@
 Fingerprints within ``bits`` differing bits are linked; a group is what links
 connect. The index is built over distinct fingerprints:
 
-* there are ``bits + 1`` orders. In order t a fingerprint is rotated so that
-  its t-th block of bits leads, and sorted by Gray rank. Two fingerprints
-  within ``bits`` agree on one whole block, so in that order they lie under
-  the same top node, the one that shares the block's bits;
+* a fingerprint is cut into ``bits + a`` blocks. Each choice of ``a`` blocks is
+  an order: these blocks lead, and codes are sorted by Gray rank. Two codes
+  within ``bits`` agree on ``a`` whole blocks, so in that order they lie under
+  the same top node, the one that shares the blocks' bits. ``a`` follows the
+  number of codes, so that a top node holds ``MEAN`` on average at most;
 * under a top node, runs of neighbours in Gray rank form leaves, runs of
   leaves upper nodes. A node holds the bits that all its members share, as a
   mask and a pattern. Two nodes differ at least in the bits that both share;
   these differences accumulate downwards, and a pair of nodes above ``bits``
   is pruned with everything under it. So is a pair whose members are linked
   already;
-* a top node with more than ``chunk`` members is cut into chunks by a hash,
+* a top node with more than ``CHUNK`` members is cut into chunks by a hash,
   and each pair of chunks is a task group of its own, so that no node is ever
-  gathered into one task. ``chunk`` follows the input: four times the mean
-  size of a top node, 512 at least.
+  gathered into one task.
 
 A top node hands on at most one link for each member (to the root of its part
 of the group), never its pairs; connected components then join the parts.
@@ -24,53 +24,55 @@ of the group), never its pairs; connected components then join the parts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import components, cut, prepare, read, whole
+from .common import components, cut, prepare, read, small
 
 SEED = 42
 LEAF, FAN, CHUNK_PAIRS = 16, 8, 150_000
+MEAN, CHUNK, CHUNKS, LARGEST = 512, 16384, 64, 1 << 19
 
 
-def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
-    """Unsigned fingerprints; a bit is set if over half the shingles' hashes have it.
+def bit_majority(hashes: np.ndarray, n: int) -> int:
+    """The code whose bits are set in over half of ``n`` hashes."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, n, 65536):
+        ones += np.unpackbits(hashes[lo : lo + 65536].view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
-    Lane 0 takes XXH64 itself, further lanes a bijection of it each.
-    """
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Unsigned hashes, repeats included; of all words if they are fewer, none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return [0] * lanes
-    joined = b" ".join(found)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined, SEED)]
-    if len(found) > words:
-        ends = np.cumsum([len(w) + 1 for w in found]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1].tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    ones = np.zeros((lanes, 64), np.int64)
-    for lo in range(0, len(hashes), 65536):
-        h = np.array(hashes[lo : lo + 65536], np.uint64)
-        for lane in range(lanes):
-            if lane:
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-                h ^= h >> np.uint64(28)
-            ones[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(o * 2 > len(hashes)).tobytes(), "big") for o in ones]
-
-
-def fingerprinted(docs: DataFrame, words: int, lanes: int = 1, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_fp array<long>``; a null text has no words."""
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """A bit is set if over half the shingles' hashes have it; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    return bit_majority(hashes, len(hashes))
+
+
+def fingerprinted(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_fp array<long>`` of one code; a null text has no words."""
 
     @F.pandas_udf("array<long>")
     def fps(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(fingerprint(t, words, lanes), np.uint64).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([np.array([fingerprint(t, words)], np.uint64).view(np.int64) for t in texts], dtype=object)
 
     return docs.withColumn("_fp", fps(F.col(text_col)))
 
@@ -163,42 +165,72 @@ def linked(seg: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def links(codes: DataFrame, bits: int, lanes: int = 1) -> DataFrame:
-    """``(u, v)``: for distinct ``codes(v, fp array<long>)``, links that connect each group.
+def rotation(r: int) -> list[tuple[int, int]]:
+    """The (first bit, length) of the parts of a code rotated by ``r``."""
+    return [(r, 64 - r), (0, r)] if r else [(0, 64)]
+
+
+def permuted(fp: Column, parts: list[tuple[int, int]]) -> Column:
+    """The code with these parts of its bits in this order."""
+    out, left = None, 64
+    for first, n in parts:
+        left -= n
+        x = fp if n == 64 else F.shiftleft(F.shiftrightunsigned(fp, 64 - first - n).bitwiseAND(F.lit((1 << n) - 1)), left)
+        out = x if out is None else out.bitwiseOR(x)
+    return out
+
+
+def agreeing(n: int, bits: int) -> list[tuple[int, list[tuple[int, int]], int]]:
+    """Orders (lane 0, parts, head's width) that show every pair within ``bits`` under one head.
+
+    Of ``bits + a`` blocks such a pair agrees on ``a``; each choice of a blocks
+    leads one order. ``a`` is the least whose heads give nodes of ``MEAN``
+    codes on average.
+    """
+    for a in range(1, 5):
+        edge = [round(64 * t / (bits + a)) for t in range(bits + a + 1)]
+        block = [(x, y - x) for x, y in zip(edge, edge[1:])]
+        orders = [(0, [block[i] for i in some] + [x for i, x in enumerate(block) if i not in some], sum(block[i][1] for i in some)) for some in combinations(range(bits + a), a)]
+        if n <= MEAN << min(w for _, _, w in orders):
+            break
+    return [(lane, parts, min(w, 32)) for lane, parts, w in orders]
+
+
+def nodes(codes: DataFrame, orders: list[tuple[int, list[tuple[int, int]], int]]) -> DataFrame:
+    """``(node, i, j, v, code)`` of ``codes(v, fp array<long>)``: the top nodes of every order.
 
-    Two are linked if they are within ``bits`` in any lane.
+    Rows of one (node, i, j) are together and sorted. A node of more than
+    ``CHUNK`` members is cut into up to ``CHUNKS`` chunks by a hash, more only
+    where a chunk would pass ``LARGEST``; i and j are a pair of its chunks.
     """
-    n = codes.count()
-    tables = bits + 1
-    edges_at = [round(64 * t / tables) for t in range(tables + 1)]
-    width = [b - a for a, b in zip(edges_at, edges_at[1:])]
-    chunk = max(512, 4 * -(-n // 2 ** min(width)))
-
-    def turned(lane: int, t: int) -> F.Column:
-        r, fp = edges_at[t], F.get(F.col("fp"), lane)
-        return fp if r == 0 else F.shiftleft(fp, r).bitwiseOR(F.shiftrightunsigned(fp, 64 - r))
-
-    orders = [(lane, t) for lane in range(lanes) for t in range(tables)]
-    each = [F.struct(F.lit(i).alias("t"), turned(*o).alias("code"), F.shiftrightunsigned(turned(*o), 64 - width[o[1]]).alias("head")) for i, o in enumerate(orders)]
-    rows = codes.select("v", F.explode(F.array(*each)).alias("o"))
-    rows = rows.select("v", F.col("o.code").alias("code"), (F.col("o.t") * F.lit(1 << 32) + F.col("o.head")).alias("node"))
-    # At most lanes * tables * n / chunk nodes are hot: a quarter of lanes * tables * 2**min(width).
-    hot = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("node", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(hot), "node", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int"))
+    each = []
+    for t, (lane, parts, width) in enumerate(orders):
+        code = permuted(F.get(F.col("fp"), lane), parts)
+        each.append(F.struct(code.alias("code"), (F.lit(t * (1 << 32)) + F.shiftrightunsigned(code, 64 - width)).alias("node")))
+    rows = codes.select("v", F.explode(F.array(*each)).alias("o")).select("v", "o.code", "o.node")
+    parts_of = F.greatest(F.least(F.ceil(F.col("n") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("n") / LARGEST)).cast("int")
+    hot = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("node", parts_of.alias("parts"))
+    rows = rows.join(small(hot), "node", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    rows = rows.select("v", "code", "node", "part", other.alias("other")).select("v", "code", "node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = rows.select("v", "code", "node", "part", other.alias("other")).select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "v", "code")
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by their group; whole groups are taken together."""
 
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            group = np.concatenate([[0], np.cumsum((pdf[["node", "i", "j"]].diff().iloc[1:] != 0).any(axis=1).to_numpy())])
+def by_node(search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For ``mapInPandas`` over ``nodes``: whole nodes go to ``search(seg, name, v, code)``.
+
+    Rows are sorted by ``seg``, the number of the node, then by Gray rank;
+    ``name`` is a hash of the node.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            node, i, j = (pdf[c].to_numpy(np.int64) for c in ("node", "i", "j"))
+            seg = np.concatenate([[0], np.cumsum((node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
             code = pdf["code"].to_numpy(np.int64).view(np.uint64)
-            order = np.lexsort((gray_rank(code), group))
-            root = linked(group[order], code[order], bits)
-            some = np.flatnonzero(root != np.arange(len(root)))
-            v = pdf["v"].to_numpy(np.int64)[order]
-            return pd.DataFrame({"u": v[root[some]], "v": v[some]})
+            order = np.lexsort((gray_rank(code), seg))
+            name = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + i.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) + j.astype(np.uint64)
+            return search(seg[order], name[order], pdf["v"].to_numpy(np.int64)[order], code[order])
 
         held: list[pd.DataFrame] = []
         for pdf in batches:
@@ -207,22 +239,33 @@ def links(codes: DataFrame, bits: int, lanes: int = 1) -> DataFrame:
             key = list(pdf[["node", "i", "j"]].iloc[-1])
             last = (pdf["node"] == key[0]) & (pdf["i"] == key[1]) & (pdf["j"] == key[2])
             if not last.all():
-                yield search(pd.concat([*held, pdf[~last]]))
+                yield whole(pd.concat([*held, pdf[~last]]))
                 held = []
             elif held and list(held[-1][["node", "i", "j"]].iloc[-1]) != key:
-                yield search(pd.concat(held))
+                yield whole(pd.concat(held))
                 held = []
             held.append(pdf[last])
         if held:
-            yield search(pd.concat(held))
+            yield whole(pd.concat(held))
+
+    return run
+
 
-    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInPandas(run, "u long, v long")
+def links(codes: DataFrame, bits: int) -> DataFrame:
+    """``(u, v)``: for distinct ``codes(v, fp array<long>)``, links that connect each group."""
 
+    def search(seg: np.ndarray, name: np.ndarray, v: np.ndarray, code: np.ndarray) -> pd.DataFrame:
+        root = linked(seg, code, bits)
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"u": v[root[some]], "v": v[some]})
 
-def _grouped(rows: DataFrame, bits: int, lanes: int) -> DataFrame:
+    return nodes(codes, agreeing(codes.count(), bits)).mapInPandas(by_node(search), "u long, v long")
+
+
+def _grouped(rows: DataFrame, bits: int) -> DataFrame:
     """``(v, root, m)`` for ``rows(id, v, fp)``: each code's part and smallest id."""
     codes = rows.groupBy("v").agg(F.min("id").alias("m"), F.min("fp").alias("fp"))
-    roots = components(links(codes.select("v", "fp"), bits, lanes))
+    roots = components(links(codes.select("v", "fp"), bits))
     return codes.select("v", "m").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "m")
 
 
@@ -232,42 +275,17 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "d
     ``component_id`` is the smallest id reachable; null ids take part but are
     never the smallest, so a group of null ids only has null. Repeated rows
     and equal texts share a fingerprint and hence a group. Texts without words
-    have fingerprint 0. Empty tables give empty results.
+    have fingerprint 0. Very long texts are taken whole. Extra columns are
+    left out. Empty tables give empty results.
     """
     prepare(docs.sparkSession)
-    rows = fingerprinted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), words, 1, "_text")
+    rows = fingerprinted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), words, "_text")
     rows = cut(rows.select("id", F.get("_fp", 0).alias("v"), F.col("_fp").alias("fp")))
-    grouped = _grouped(rows, bits, 1)
+    grouped = _grouped(rows, bits)
     least = grouped.groupBy("root").agg(F.min("m").alias("component_id"))
     return rows.select("id", "v").join(grouped.select("v", "root").join(least, "root").select("v", "component_id"), "v").select("id", F.col("v").alias("fp"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, alike: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the row with the smallest id.
-
-    Two texts are near copies if the sets of their word shingles overlap by
-    ``alike`` (Jaccard) or more; a group is what they connect. Texts without
-    words are near copies of each other. Of rows that repeat id and text one
-    stays; of a group without ids one row stays. Same columns.
-    """
-    prepare(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.select(whole(docs), F.col(id_col).alias("id"), text.alias("text")).withColumn("k", F.unhex(F.md5(F.col("text").cast("binary"))))
-    texts = marked.select("k", "text")
-    late = jaccard.often(texts, words)
-    rows = cut(marked.select("id", "k", jaccard.set_keys(F.col("text"), words, alike, late).alias("s")).select("id", "k", "s.v", "s.n", "s.keys"))
-    roots = jaccard.alike_parts(rows, texts, words, alike)
-    firsts = rows.groupBy("v").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("f"))
-    firsts = firsts.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("f").alias("f"))
-    firsts = firsts.select(F.col("f.id").alias("m"), F.col("f.k").alias("mk"))
-    counts = rows.groupBy("k", "id").agg(F.count("*").alias("n"))
-    same = (F.col("k") == F.col("mk")) & F.col("id").eqNullSafe(F.col("m"))
-    firsts = cut(firsts.join(counts, same).select("mk", "m", "n"))
-    kept = marked.drop("text").join(firsts, same)
-    once = kept.where("n > 1").dropDuplicates(["k"])
-    return kept.where("n = 1").unionByName(once).select("row.*")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_groups(docs)

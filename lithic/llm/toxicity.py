@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import held, prepare, read
 
 #: What a sign may stand for (fixed values of the channel).
 LOOKS = {
@@ -274,7 +274,7 @@ class Scorer:
             if best:
                 found[words[-1]] = best
             else:
-                if len(self.plain) > 800_000:
+                if len(self.plain) > 300_000:
                     self.plain.clear()
                 self.plain.add(token)
         for word in self.restore.spaced(low):
@@ -287,14 +287,8 @@ class Scorer:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(model: dict) -> Scorer:
-    if model["no"] not in _scorers:
-        _scorers.clear()
-        _scorers[model["no"]] = Scorer(model)
-    return _scorers[model["no"]]
+    return held(f"scorer {model['no']}", lambda: Scorer(model))
 
 
 def score_of(spark: SparkSession, text: Column, model: dict) -> Column:
