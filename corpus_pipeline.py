@@ -7,27 +7,26 @@ Each stage works on all that the one before it kept, in the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithic.llm import mixing, pieces, pii, simhash, toxicity
+from lithic.llm import mixing, pieces, pii, toxicity, verified
 from lithic.llm.common import cut, read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores 0.5 or more go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    kept = scored.where("score < 0.5").drop("score")
-    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
+    return docs.where(toxicity.score_of(spark, F.col("text"), model) < 0.5)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) one document stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, 0.8 alike) one document stays."""
+    return verified.drop_near_copies(docs)
 
 
 def pseudonyms_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms of their format."""
-    return pii.pseudonymise(docs).select(docs.columns)
+    return pii.pseudonymise(docs, pii.key_of(spark), counted=False)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
