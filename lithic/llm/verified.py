@@ -19,13 +19,15 @@ sets, never by bits alone:
   its pairs were never listed;
 * then each set that is not yet in one part with all of its knots is held
   against the most central set of one of them;
-* then all pairs of a knot that are within ``near`` bits and still in
-  different parts are held against each other.
-
-Before its sets are looked at, a pair must pass two filters: their sizes must
-allow the overlap, and their lanes, of which there are ``WIDE`` at least, must
-not differ together by far more than ``alike`` would. Sets are compared as
-32-bit hashes of shingles.
+* then all pairs of a knot of ``FEW`` sets at most that are within ``near``
+  bits and still in different parts are held against each other. What larger
+  knots connect is not listed in pairs: a prefix join over differences from a
+  pivot finds every pair that is alike (``by_pivot``).
+
+Before its sets are looked at, a pair of knots must pass two filters: their
+sizes must allow the overlap, and their lanes, of which there are ``WIDE`` at
+least, must not differ together by far more than ``alike`` would. Sets are
+compared as 32-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ from .common import components, cut, held, prepare, small, whole
 from .simhash import SEED, bit_majority, by_node, linked, nodes, rotation, shingle_hashes
 
 RECALL, TURNS, ORDERS, WIDE, MEAN = 0.95, 1, 5, 8, 16
+FEW, STEPS, CROWD = 32, 12, 0.125
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -119,6 +122,71 @@ def knots(codes: DataFrame, lanes: int, width: int, near: int) -> DataFrame:
     return nodes(codes, orders).mapInPandas(by_node(search), "knot long, v long, code long, d int")
 
 
+def by_pivot(groups: DataFrame, sets: DataFrame, alike: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links ``(u, v)`` with pivots, candidates ``(u, v)``, and ``(c, v)`` that another pivot must see.
+
+    For ``groups(c, u, v, root)``, u being the pivot of c, and ``sets(v, s)``.
+    Where u is null the pivot is the empty set, and all pairs are candidates.
+    Of two alike sets that are both near the pivot and not both alike to it
+    each pair of different roots is a candidate; of two others, both are far
+    enough to be handed on. ``1 - J`` is a metric, so there is no third case.
+
+    Let D be how a set differs from the pivot, with what it lacks. Two sets
+    differ in as many elements as their Ds do, ``r`` of their sizes' sum at most
+    if they are alike. If one is not alike to the pivot, then its D is too large
+    for this unless the Ds overlap, by ``(|Dx| + |Dy| - r (|x| + |y|)) / 2``.
+    Elements are ordered by how many Ds have them, rarest first; so many may
+    be missing that the first common one stands within a prefix of either D.
+    Elements of one D only come first and need no row. The sizes of the Ds are
+    cut into strata (by ratio, where D is the set itself), and a pair meets by
+    the stratum of its smaller D and how many strata the larger is above, as
+    the prefixes depend on both.
+    """
+    r, wide = (1 - alike) / (1 + alike), min(1.0, 3 * (1 - alike))
+    pivots = groups.where("u = v").join(sets, "v").select("c", F.col("s").alias("p"), F.col("root").alias("first"))
+    rows = groups.where("u is null or u <> v").join(sets, "v").join(small(pivots, 2000), "c", "left")
+    rows = rows.withColumn("p", F.coalesce("p", F.array().cast("array<int>")))
+    rows = rows.withColumn("lacks", F.array_except("p", "s")).withColumn("has", F.array_except("s", "p"))
+    k, n = F.size("lacks") + F.size("has"), F.size("s")
+    far = F.when(F.col("u").isNotNull(), k / (n + F.size("lacks")))  # no distance from no pivot
+    main = F.coalesce((F.col("root") == F.col("first")) | (far <= 1 - alike + 1e-9), F.lit(False))
+    d = F.when(far.isNull() | (far <= wide + 1e-9), F.concat("lacks", "has"))
+    rows = cut(rows.select("c", "u", "v", "root", main.alias("main"), n.alias("n"), F.size("p").alias("m"), k.alias("k"), far.alias("far"), d.alias("d")))
+    links = rows.where(F.col("far") <= 1 - alike + 1e-9).select("u", "v")
+    rest = rows.where(F.col("far") > wide - (1 - alike) - 1e-9).select("c", "v")
+    near = rows.where(F.col("d").isNotNull())
+    each = near.select("c", "v", F.explode("d").alias("t"))
+    shared = each.groupBy("c", "t").agg(F.count("*").alias("o")).where("o > 1")
+    order = each.join(shared, ["c", "t"]).groupBy("c", "v").agg(F.sort_array(F.collect_list(F.struct("o", "t"))).alias("order"))
+    most, step = r * F.col("n") * (1 + 1 / alike), F.greatest(F.ceil(F.col("m") / STEPS), F.lit(1))
+    placed = near.join(order, ["c", "v"]).withColumn("most", most).withColumn("step", F.when(F.col("u").isNotNull(), step))
+    placed = placed.select("c", "v", "root", "main", "n", "k", "most", "step", F.size("order").alias("some"), F.posexplode("order").alias("i", "x"))
+    placed = placed.withColumn("pos", F.col("k") - F.col("some") + F.col("i") + 1).withColumn("t", F.col("x.t")).where(F.col("pos") <= F.col("most") + 1 + 1e-9)
+    above = F.greatest(F.floor((F.col("most") - 1) / F.col("step")) + 1, F.lit(0))
+    placed = placed.withColumn("e", F.explode(F.sequence(F.lit(0), F.coalesce(above, F.lit(5)).cast("int"))))
+    ratio = alike**-0.25
+    least = F.coalesce((F.col("e") - 1) * F.col("step") + 1, F.col("k") * (F.pow(F.lit(ratio), F.col("e") - 1) - 1))
+    greatest = F.coalesce((F.col("e") + 1) * F.col("step") - 1, F.col("k") * (1 - F.pow(F.lit(ratio), -F.col("e") - 1)))
+    greatest = F.least("most", greatest)
+    lower = F.when(F.col("e") == 0, F.least("most", F.coalesce(F.col("step") - 1, F.col("k") * (ratio - 1)))).otherwise(-least)  # in one stratum either may be the larger
+    stratum = F.floor(F.coalesce(F.col("k") / F.col("step"), F.log("k") / math.log(ratio)))
+
+    def side(limit: Column, at: Column, name: str) -> DataFrame:
+        found = placed.where(F.col("pos") <= (F.col("most") + limit) / 2 + 1 + 1e-9)
+        return found.select("c", "t", "e", at.alias("stratum"), *[F.col(x).alias(x + name) for x in ("v", "root", "main", "n", "k", "pos")])
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        slack = r * (F.col("nx") + F.col("ny")) + 2 + 1e-9
+        ok = (F.col("rootx") != F.col("rooty")) & (F.least("nx", "ny") >= alike * F.greatest("nx", "ny") - 1e-9)
+        ok &= (2 * F.col("posx") <= F.col("kx") - F.col("ky") + slack) & (2 * F.col("posy") <= F.col("ky") - F.col("kx") + slack)
+        ok &= (F.col("e") > 0) | F.col("mainy") | (F.col("vx") < F.col("vy"))  # one way round
+        return a.join(b, ["c", "t", "e", "stratum"]).where(ok).select(F.least("vx", "vy").alias("u"), F.greatest("vx", "vy").alias("v"))
+
+    x, y = side(lower, stratum, "x"), side(greatest, stratum - F.col("e"), "y")
+    pairs = joined(x.where("not mainx"), y).unionAll(joined(x.where("mainx and e > 0"), y.where("not mainy")))
+    return links, pairs.distinct(), rest
+
+
 def alike_parts(rows: DataFrame, texts: DataFrame, words: int, alike: float, near: int, far: int, lanes: int, width: int) -> DataFrame:
     """``(v, root)`` of each set of ``rows(v, n, k, fp)`` that is not its part's root.
 
@@ -135,6 +203,10 @@ def alike_parts(rows: DataFrame, texts: DataFrame, words: int, alike: float, nea
     def differ(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
+    def overlapping(both: DataFrame) -> DataFrame:
+        inter = F.size(F.array_intersect("x", "y"))
+        return both.where(inter / (F.size("x") + F.size("y") - inter) >= alike - 1e-9).select("u", "v")
+
     def decided(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(u, v)`` whose sets are alike; sets are made of their texts again."""
         a = members.select(F.col("v").alias("u"), F.col("k").alias("ku"), F.col("n").alias("nu"), F.col("fp").alias("x"))
@@ -147,19 +219,52 @@ def alike_parts(rows: DataFrame, texts: DataFrame, words: int, alike: float, nea
         found = cut(found.select("k", sets(F.col("text")).alias("s")))
         both = pairs.join(found.select(F.col("k").alias("kv"), F.col("s").alias("y")), "kv")
         both = both.join(found.select(F.col("k").alias("ku"), F.col("s").alias("x")), "ku")
-        inter = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(inter / (F.size("x") + F.size("y") - inter) >= alike - 1e-9).select("u", "v"))
+        return cut(overlapping(both))
 
-    def central() -> DataFrame:
-        """``(u, v)``: each set of what knots connect with the most central one."""
+    def central(tied: DataFrame) -> DataFrame:
+        """``(c, u, v)``: each set of what knots connect with the most central one, u."""
         star = tied.join(tied.groupBy("knot").agg(F.min("v").alias("u")), "knot").select("u", "v")
-        code = members.join(components(star), "v", "left").select("v", F.coalesce("root", "v").alias("c"), F.get("fp", 0).alias("code"))
+        code = members.join(tied.select("v").distinct(), "v", "left_semi").join(components(star), "v", "left")
+        code = code.select("v", F.coalesce("root", "v").alias("c"), F.get("fp", 0).alias("code"))
         code = cut(code)
         ones = [F.sum(F.shiftrightunsigned("code", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
         bits = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)) for i in range(64)]
         centre = code.groupBy("c").agg(F.count("*").alias("n"), *ones).select("c", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("centre"))
         pivot = code.join(centre, "c").groupBy("c").agg(F.min(F.struct(F.bit_count(F.col("code").bitwiseXOR(F.col("centre"))), F.col("v").alias("u"))).alias("p"))
-        return code.join(pivot.select("c", "p.u"), "c").where("u <> v").select("u", "v")
+        return code.join(pivot.select("c", "p.u"), "c").select("c", "u", "v")
+
+    def sized(tied: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of knots of ``FEW`` sets at most, and of larger ones."""
+        n = tied.groupBy("knot").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("knot")
+        return tied.join(n, "knot", "left_anti"), cut(tied.join(n, "knot", "left_semi"))
+
+    def in_large(tied: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of ``tied(knot, v, code, root)``, knots of over ``FEW`` sets; and rows whose pairs are left, in small knots."""
+        need = members.join(tied.select("v").distinct(), "v", "left_semi").select("k", "v")
+        found = texts.join(small(need), "k").dropDuplicates(["v"])
+        found = cut(found.select("v", sets(F.col("text")).alias("s")))
+        links, few, scattered, turns = yes, tied.where("false"), None, 0
+        while True:
+            groups = scattered
+            if not tied.isEmpty():
+                groups = central(tied).join(tied.select("v", "root").distinct(), "v")
+                apart = groups.groupBy("c").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
+                groups = cut(groups.join(apart.select("c", "n"), "c"))
+            elif groups is None:
+                return links, few
+            direct, pairs, rest = by_pivot(groups, found, alike)
+            both = cut(pairs).join(found.select(F.col("v").alias("u"), F.col("s").alias("x")), "u")
+            both = both.join(found.select("v", F.col("s").alias("y")), "v")
+            links = links.unionByName(direct).unionByName(cut(overlapping(both)))
+            if groups is scattered:
+                return links, few
+            # Where hardly any set is near the pivot there is no crowd, and the empty set serves as well.
+            rest = cut(groups.join(rest, ["c", "v"], "left_semi").select("c", "v", "root", "n"))
+            thin = rest.groupBy("c", "n").agg(F.count("*").alias("left")).where(F.col("left") > (1 - CROWD) * F.col("n")).select("c")
+            loose = rest.join(thin, "c", "left_semi").select(F.xxhash64("c", F.lit(turns)).alias("c"), F.lit(None).cast("long").alias("u"), "v", "root")
+            scattered = loose if scattered is None else scattered.unionByName(loose)
+            less, tied = sized(cut(tied.join(rest.join(thin, "c", "left_anti").select("v"), "v", "left_semi")))
+            few, turns = few.unionByName(less), turns + 1
 
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= near
     pair = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -170,7 +275,7 @@ def alike_parts(rows: DataFrame, texts: DataFrame, words: int, alike: float, nea
     tried, roots = yes, None
     for turn in range(TURNS + 2):
         if not turn:
-            pairs = central()
+            pairs = central(tied).where("u <> v").select("u", "v")
         else:
             now = tied.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
             apart = now.groupBy("knot").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("knot")
@@ -178,7 +283,14 @@ def alike_parts(rows: DataFrame, texts: DataFrame, words: int, alike: float, nea
             if tied.isEmpty():
                 break
             now = cut(tied.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
-            others = now.withColumn("place", place).where(F.col("place") == turn) if turn <= TURNS else now
+            if turn <= TURNS:
+                others = now.withColumn("place", place).where(F.col("place") == turn)
+            else:
+                now, large = sized(now)
+                if not large.isEmpty():
+                    links, few = in_large(large)
+                    yes, now = yes.unionByName(links), cut(now.unionByName(few))
+                others = now
             others = others.select("knot", F.col("v").alias("u"), F.col("code").alias("c"), F.col("root").alias("r"))
             pairs = now.join(others, "knot").where((F.col("r") != F.col("root")) & close("c", "code"))
             if turn <= TURNS:  # one for each set

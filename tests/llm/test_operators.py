@@ -181,6 +181,63 @@ def test_near_copies_equal_brute_force(spark):
     assert {r["doc_id"] for r in verified.drop_near_copies(df.repartition(5)).collect()} == want and len(want) < len(texts) - 100
 
 
+def edited(rng, base, low, high):
+    t = list(base)
+    for at in rng.sample(range(len(t)), rng.randint(low, high)):
+        t[at] = f"x{rng.randrange(10**6)}"
+    return t
+
+
+def test_differences_from_a_pivot_show_every_alike_pair(spark):
+    """No pair that is alike is missed, and of pairs that are nearly alike few are listed."""
+    rng = random.Random(15)
+    bases = [rng.sample(range(1000), 90) for _ in range(2)]
+    sets, groups = [], []
+    for v in range(500):
+        s = list(rng.choice(bases))
+        if v % 5 == 4:  # like an earlier one that may be far from the pivot
+            s = list(sets[rng.randrange(len(sets))])
+        for _ in range(rng.randint(0, 4) if v % 5 == 4 else rng.randint(5, 25)):
+            s[rng.randrange(len(s))] = 1000 + rng.randrange(100_000)
+            if rng.random() < 0.3 and len(s) > 40:
+                s.pop(rng.randrange(len(s)))
+        sets.append(sorted(set(s)))
+        groups.append((v % 2, v % 2, v, rng.randrange(500) if v % 10 < 3 else v))
+    near = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    links, pairs, rest = verified.by_pivot(spark.createDataFrame(groups, "c long, u long, v long, root long"), spark.createDataFrame(list(enumerate(sets)), "v long, s array<int>"), 0.8)
+    links, listed = {(r["u"], r["v"]) for r in links.collect()}, pairs.collect()
+    pairs, rest = {(r["u"], r["v"]) for r in listed}, {r["v"] for r in rest.collect()}
+    assert links == {(v % 2, v) for v in range(2, 500) if near(v, v % 2)} and len(pairs) == len(listed)
+    root = [r for *_, r in groups]
+    main = lambda v: v < 2 or root[v] == root[v % 2] or (v % 2, v) in links
+    alike = {(a, b) for a in range(2, 500) for b in range(a + 2, 500, 2) if root[a] != root[b] and not (main(a) and main(b)) and near(a, b)}
+    assert len(alike) > 50 and all(p in pairs or p[0] in rest and p[1] in rest for p in alike)
+    assert {0, 1} & rest == set() and len(pairs) < 0.1 * 2 * 250 * 249 / 2
+
+
+@pytest.mark.parametrize("few", [32, 4])
+def test_large_groups_of_nearly_alike_texts(spark, monkeypatch, few):
+    """Most texts of the group are 0.5 to 0.8 alike; chains of small edits start at some of them."""
+    monkeypatch.setattr(verified, "FEW", few)
+    rng = random.Random(16)
+    bases = [[f"w{g} {i}" for i in range(60)] for g in range(3)]
+    texts = [edited(rng, rng.choice(bases), 1, 4) for _ in range(350)]
+    for _ in range(150):
+        texts.append(edited(rng, rng.choice(texts[100:]), 0, 2))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    listed, by_pivot = [], verified.by_pivot
+
+    def counted(*args):
+        out = by_pivot(*args)
+        listed.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(verified, "by_pivot", counted)
+    want, got = near_copies_brute(df.collect()), {r["doc_id"] for r in verified.drop_near_copies(df.repartition(5)).collect()}
+    assert want <= got and len(got - want) <= 0.02 * len(texts) and 50 < len(want) < 450
+    assert listed and sum(listed) < 0.1 * len(texts) ** 2 / 2
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     """Pairs of one link each, by how alike they are: nothing connects them but the link itself."""
     rng = random.Random(13)
